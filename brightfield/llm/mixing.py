@@ -75,6 +75,30 @@ def pivotal(size: np.ndarray, mass: np.ndarray, key: np.ndarray, seed: int) -> t
     return mass, int(i)
 
 
+def pivotal_pool(size: np.ndarray, fraction: float, key: np.ndarray, seed: int) -> tuple[np.ndarray, int]:
+    """Pivotal rounding where all units share one fraction: each unit is paired with the pool of those after it.
+
+    Mass moves between the unit and the pool (over all its members alike) until one of the two is integral, with the
+    probabilities that keep expectations. Sizes come largest first, so what stays open at the end is a small unit.
+    """
+    mass, pool, f = np.zeros(len(size)), float(size.sum()), float(fraction)
+    u = _chance(key, np.roll(key, 1), seed)
+    for i, s in enumerate(size):
+        pool -= s
+        if s <= 0 or f <= 1e-9 or f >= 1 - 1e-9:
+            mass[i] = s if f > 0.5 else 0.0
+            continue
+        own = f * s
+        up, down = min(s - own, f * pool), min(own, (1 - f) * pool)
+        move = up if u[i] * (up + down) < down else -down
+        mass[i] = own + move
+        f = min(1.0, max(0.0, (f * pool - move) / pool)) if pool > 0 else 0.0
+        if 1e-9 * s < mass[i] < s * (1 - 1e-9):  # the pool is integral: the rest follows it
+            mass[i + 1 :] = size[i + 1 :] if f > 0.5 else 0.0
+            return mass, i
+    return mass, -1
+
+
 _NODE = "doc_id long, source string, leaf long, home long, size long, mass double, open boolean"
 
 
@@ -118,7 +142,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
         pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
         whole = np.floor(pdf["ratio"].to_numpy() + 1e-12)
         size = pdf["size"].to_numpy(np.float64)
-        mass, left = pivotal(size, size * np.maximum(0, pdf["ratio"].to_numpy() - whole), pdf["doc_id"].fillna(-1).to_numpy(np.int64), seed)
+        mass, left = pivotal_pool(size, max(0.0, float(pdf["ratio"].iloc[0] - whole[0])), pdf["doc_id"].fillna(-1).to_numpy(np.int64), seed)
         is_open = np.arange(len(pdf)) == left
         copies = whole + ((mass * 2 > size) & (size > 0) & ~is_open)
         return pdf.assign(copies=copies.astype(np.int64), open=is_open, mass=mass)[[x.split()[0] for x in schema.split(", ")]]
