@@ -116,7 +116,7 @@ def _node(seed: int, last: bool):
     return node
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 0, per_leaf: int = 20_000, fan_in: int = 64) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 0, per_leaf: int = 4_000, fan_in: int = 64) -> DataFrame:
     """Copies of every document so that each source's words come to its target.
 
     Returns ``doc_id, size, source_size, target, copies, taken`` (``taken = copies * size``). Every document of a
