@@ -116,3 +116,41 @@ def segment_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         out[lo:hi] = mix64((total[e] - total[s]) * powers(BASE_INV, b - a + 1)[s] + (e - s).astype(np.uint64))
         lo = hi
     return out
+
+
+def near_filter(rows: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 23, others: bool = False) -> DataFrame:
+    """Rows whose ``column`` may be in ``ids`` (one column of longs): all that are, and few others while ids are few.
+    ``others``: the remaining rows instead, nulls among them.
+
+    The ids' hashes set bits of one table of ``bits`` bits, at most ``bits / 64`` rows of two longs however many ids
+    there are; that table is broadcast. It spares a join from shuffling rows that cannot match.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    one = ids.columns[0]
+    table = ids.select(place(F.col(one)).alias("p")).select(F.shiftright("p", 6).alias("near_word"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b"))
+    table = table.groupBy("near_word").agg(F.bit_or("b").alias("near_bits"))
+    marked = rows.withColumn("near_place", place(F.col(column))).withColumn("near_word", F.shiftright("near_place", 6))
+    hit = F.expr("(near_bits & shiftleft(1L, CAST(near_place & 63 AS INT))) <> 0")
+    if others:
+        hit = ~F.coalesce(hit & F.col(column).isNotNull(), F.lit(False))
+    hit = marked.join(F.broadcast(table), "near_word", "left" if others else "inner").filter(hit)
+    return hit.drop("near_word", "near_bits", "near_place")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, root`` for the ends of ``links`` (longs ``a, b``): root is the smallest node that links reach.
+
+    Each round a node takes the smallest label among its neighbours' and its own, then that label's own label; labels
+    fall until a round changes none. Every round is written, so a lost executor repeats one round at most.
+    """
+    both = cut(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "links")
+    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).withColumnRenamed("u", "node"), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
+        moved = labels.join(near, F.col("node") == F.col("u")).select("node", "root", F.least("root", "r").alias("new"))
+        jump = labels.select(F.col("node").alias("j"), F.col("root").alias("jr"))
+        after = cut(moved.join(jump, F.col("new") == F.col("j"), "left").select("node", "root", F.least("new", F.coalesce("jr", "new")).alias("new")), "labels")
+        changed = after.filter("new < root").limit(1).count()
+        labels = after.select("node", F.col("new").alias("root"))
+        if not changed:
+            return labels

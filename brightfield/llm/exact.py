@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, cut, mix64
+from .common import SPACE_RUN, cut, mix64, near_filter
 
 FILTER_SCHEMA = "bucket int, seed long, segment int, segments int, cells binary"
 _TRIES = 64
