@@ -131,7 +131,8 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, keys_per_buc
     by digest on their own; their distinct digests are screened by the snapshot's binary-fuse filters, and the positives
     join the exact buckets, where the normalised bytes of one member of either side are compared.
 
-    Null text is empty text; a null doc_id is grouped like any other, and stays only if its group has no other id.
+    Null text is empty text; a null doc_id is grouped like any other, and stays only if its group has no other id (a group
+    of such rows alone on either side is compared by digest).
     Repeated rows are members each; ``kept`` is true on one row of a group (of equal ids, one of them). Empty input
     gives no rows. Columns other than ``doc_id, text`` are ignored. Groups of any size are counted with partial sums.
     """
@@ -151,10 +152,11 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, keys_per_buc
     pairs = cut(pairs, "positives")
     # bytes of both members; the positives alone carry text on
     ids = pairs.select(F.explode(F.array("old_id", "new_id")).alias("id"), "sha")
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("sha", "id", normalised(F.col("text")).alias("b"))
+    wanted = near_filter(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", ids.select("id"))
+    texts = wanted.join(ids, F.col("doc_id") == F.col("id")).select("sha", "id", normalised(F.col("text")).alias("b"))
     texts = texts.filter(F.sha2(F.col("b").cast("binary"), 256) == F.col("sha"))  # of rows that share an id
     same = texts.groupBy("sha").agg((F.min("b") == F.max("b")).alias("same"))
-    linked = pairs.join(same, "sha").filter("same").select("sha", F.least("old_id", "new_id").alias("low2"), (F.col("old_n") + F.col("new_n")).alias("n2"))
+    linked = pairs.join(same, "sha", "left").filter("coalesce(same, old_id IS NULL OR new_id IS NULL)").select("sha", F.least("old_id", "new_id").alias("low2"), (F.col("old_n") + F.col("new_n")).alias("n2"))
     per_side = sides.join(linked, "sha", "left").select(
         "sha", "old", F.coalesce("low2", "low").alias("keep_id"), F.coalesce("n2", "n").alias("group_size")
     )
