@@ -154,3 +154,12 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", F.col("new").alias("root"))
         if not changed:
             return labels
+
+
+def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` is not in ``ids`` (one column of distinct longs). Only rows near ``ids`` are shuffled."""
+    one = ids.columns[0]
+    near = near_filter(rows, column, ids)
+    gone = ids.select(F.col(one).alias("gone_id"))
+    kept = near.join(gone, near[column] == F.col("gone_id"), "left_anti")
+    return near_filter(rows, column, ids, others=True).unionByName(kept)

@@ -224,3 +224,17 @@ def language_id(docs: DataFrame, model: Model | None = None, max_docs: int = 150
         F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"),
     )
     return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, model: Model, column: str = "language") -> DataFrame:
+    """``docs`` with one more column ``column`` (struct of ``lang_pred, score``), by the rules of :func:`language_id`; the rest stays in the JVM."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def label(text: pd.Series, letters: pd.Series) -> pd.DataFrame:
+        lang, score = np.full(len(text), "und", object), np.zeros(len(text))
+        some = np.flatnonzero(letters.to_numpy(bool)) if model.langs else []
+        if len(some):
+            lang[some], score[some] = predict(model, [text.iloc[i] for i in some])
+        return pd.DataFrame({"lang_pred": lang, "score": score})
+
+    return docs.withColumn(column, label(F.col("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))))

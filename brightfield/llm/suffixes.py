@@ -88,14 +88,14 @@ def anchored_pieces(texts: list[bytes], length: int = 100) -> tuple[np.ndarray,
 def suffix_array(raw: np.ndarray) -> np.ndarray:
     """Suffixes in order, by Larsson-Sadakane refinement.
 
-    Suffixes are sorted by 8 bytes; groups of equal ones are then sorted by the rank of the suffix that begins where
+    Suffixes are sorted by 7 bytes; groups of equal ones are then sorted by the rank of the suffix that begins where
     their known prefix ends, which doubles the prefix. Suffixes alone in their group are not touched again.
     """
     n = len(raw)
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    padded = np.concatenate([raw.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])  # 0: the end, before all bytes
     key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
+    for k in range(7):
+        key = (key << np.uint64(9)) | padded[k : k + n]
     sa = np.argsort(key, kind="stable")
     sorted_key = key[sa]
     new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]) if n else np.zeros(0, bool)
@@ -103,7 +103,7 @@ def suffix_array(raw: np.ndarray) -> np.ndarray:
     rank[n] = -1
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else np.zeros(0, np.int64)
     rank[sa] = head
-    h = 8
+    h = 7
     # places in sa whose group has several members
     alone = new & np.concatenate([new[1:], [True]]) if n else new
     left = np.flatnonzero(~alone)
