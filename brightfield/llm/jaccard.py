@@ -8,7 +8,6 @@ left overlaps is discarded; the rest have their whole sets intersected.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,20 +55,25 @@ def _class_key(s: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id, n, key`` of each document, and rows ``n = -1, key, count`` of n-grams that some task saw in several of its documents."""
+    """``doc_id, n, key`` of each document, and rows ``n = -1, key, count`` of n-grams
+    that stand in several different sets of one batch of rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        met: set[int] = set()
         for pdf in batches:
+            fresh = []
             for part, sets in _each(pdf, size):
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "key": [_class_key(s) if len(s) else 0 for s in sets], "count": 0})
-                values, counts = np.unique(np.concatenate(sets), return_counts=True)
-                many = counts > 1
-                for v, c in zip(values[many].view(np.int64).tolist(), counts[many].tolist(), strict=True):
-                    seen[v] += c
-                if len(seen) > 400_000:
-                    seen = Counter(dict(seen.most_common(200_000)))
-        yield pd.DataFrame({"doc_id": pd.array([None] * len(seen), "Int64"), "n": -1, "key": list(seen), "count": list(seen.values())}).astype({"key": "int64", "count": "int64"})
+                keys = [_class_key(s) if len(s) else 0 for s in sets]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "key": keys, "count": 0})
+                for s, k in zip(sets, keys, strict=True):
+                    if k not in met:
+                        met.add(k)
+                        fresh.append(s)
+                if len(met) > 1_000_000:
+                    met.clear()
+            values, counts = np.unique(np.concatenate([*fresh, np.zeros(0, np.uint64)]), return_counts=True)
+            values, counts = values[counts > 1], counts[counts > 1]
+            yield pd.DataFrame({"doc_id": pd.array([None] * len(values), "Int64"), "n": -1, "key": values.view(np.int64), "count": counts})
 
     return _texts(docs).mapInPandas(run, "doc_id long, n long, key long, count long")
 
@@ -79,7 +83,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def prefix_entries(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, percent: int, size: int, hot_from: int) -> DataFrame:
-    """``g, key, n, hot``: the prefix n-grams of each distinct set; a task emits a set once, however many copies it meets.
+    """``g, key, n, pos, hot``: the prefix n-grams of each distinct set; a task emits a set once, however many copies it meets.
 
     ``heavy`` are the most frequent n-grams (sorted) with their ``counts``: they come last in the order of n-grams,
     which changes what is compared, never what is found.
@@ -110,9 +114,9 @@ def prefix_entries(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, perce
                     ns.append(n)
                 if grams:
                     lengths = [len(x) for x in grams]
-                    yield pd.DataFrame({"g": np.concatenate(grams).view(np.int64), "key": np.repeat(np.array(keys, np.int64), lengths), "n": np.repeat(np.array(ns, np.int32), lengths), "hot": np.concatenate(hots)})
+                    yield pd.DataFrame({"g": np.concatenate(grams).view(np.int64), "key": np.repeat(np.array(keys, np.int64), lengths), "n": np.repeat(np.array(ns, np.int32), lengths), "pos": np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]), "hot": np.concatenate(hots)})
 
-    return _texts(docs).mapInPandas(run, "g long, key long, n int, hot boolean")
+    return _texts(docs).mapInPandas(run, "g long, key long, n int, pos int, hot boolean")
 
 
 def _product(percent: int, most: int):
@@ -146,8 +150,8 @@ def _product(percent: int, most: int):
             yield pairs_of(df["key"].to_numpy(), df["n"].to_numpy(), first[short], length[short])
             whole = np.repeat(hot, length)
             if whole.any():
-                k, n = df["key"].to_numpy()[whole], df["n"].to_numpy()[whole]
-                yield pd.DataFrame({"a": k, "b": k, "na": n, "nb": n, "g": pd.array(g[whole], "Int64")})
+                k, n, pos = (df[c].to_numpy()[whole] for c in ("key", "n", "pos"))
+                yield pd.DataFrame({"a": k, "b": k, "na": n, "nb": pos, "g": pd.array(g[whole], "Int64")})
 
         for pdf in batches:  # a column may go on in the next batch
             g = pdf["g"].to_numpy()
@@ -166,10 +170,70 @@ def _product(percent: int, most: int):
     return run
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """``a, b, x, ka, kb, na, nb`` of key pairs (``a, b``): first documents of either class, sizes and size of the intersection."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = cut(classes.join(keys, "key").select("key", "rep"), "wanted")
+def _long_column(percent: int):
+    """One block pair of a long column: pairs that their sizes and places allow, or all its rows as dense if those are many.
+
+    An n-gram at place p of a set of n leaves n - p that can still be common; the first common n-gram of two sets that
+    are similar enough leaves enough in either.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k, n, pos = (pdf[c].to_numpy(np.int64) for c in ("key", "n", "pos"))
+        g, i, j = (int(pdf[c].iloc[0]) for c in ("g", "i", "j"))
+        rest, block = n - pos, pdf["block"].to_numpy()
+        need = -(-percent * (n[:, None] + n) // (100 + percent))
+        fits = (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)) & (np.minimum(rest[:, None], rest) >= need)
+        fits &= (k[:, None] < k) if i == j else (block[:, None] == i) & (block == j)
+        if fits.sum() <= 16 * len(k):
+            a, b = np.nonzero(fits)
+            low, high = np.minimum(k[a], k[b]), np.maximum(k[a], k[b])
+            return pd.DataFrame({"a": low, "b": high, "g": pd.array([None] * len(a), "Int64"), "i": i, "j": j, "block": 0})
+        some = fits.any(0) | fits.any(1)
+        return pd.DataFrame({"a": k[some], "b": k[some], "g": pd.array([g] * int(some.sum()), "Int64"), "i": i, "j": j, "block": block[some]})
+
+    return run
+
+
+def _dense(percent: int, width: int = 4096):
+    """Links of one block pair of a dense column, from the product of its rows; of the links, those of a spanning forest."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.asarray(x, np.int64) for x in pdf["s"]]
+        rep, n = pdf["rep"].to_numpy(np.int64), np.array([len(x) for x in sets])
+        values = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), n)
+        _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1  # n-grams of one row alone overlap with nothing
+        shared = count[column] > 1
+        row, column = row[shared], number[column[shared]]
+        overlap = np.zeros((len(sets), len(sets)), np.float32)
+        for lo in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+            here = (column >= lo) & (column < lo + width)
+            x = np.zeros((len(sets), width), np.float32)
+            x[row[here], column[here] - lo] = 1
+            overlap += x @ x.T
+        linked = 100 * overlap >= percent * (n[:, None] + n - overlap)
+        if pdf["i"].iloc[0] != pdf["j"].iloc[0]:
+            block = pdf["block"].to_numpy()
+            linked &= block[:, None] != block
+        seen, out = np.zeros(len(sets), bool), []
+        for first in range(len(sets)):
+            todo = [] if seen[first] else [first]
+            seen[first] = True
+            while todo:
+                at = todo.pop()
+                new = np.flatnonzero(linked[at] & ~seen)
+                seen[new] = True
+                out += [(rep[at], rep[x]) for x in new]
+                todo += new.tolist()
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def sets_of(keys: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """``key, rep, s``: the set of each class in ``keys`` (read again from its first document) as an array of longs."""
+    wanted = cut(classes.join(keys, "key", "left_semi").select("key", "rep"), "wanted")
     texts = near_filter(_texts(docs).filter("doc_id IS NOT NULL"), "doc_id", wanted.select("rep")).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,71 +242,59 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
                 fits = [i for i, (s, k) in enumerate(zip(sets, part["key"], strict=True)) if len(s) and _class_key(s) == k]  # not other rows of the same id
                 yield pd.DataFrame({"key": part["key"].to_numpy()[fits], "rep": part["doc_id"].to_numpy()[fits], "s": [sets[i].view(np.int64) for i in fits]})
 
-    sets = cut(texts.select("key", "doc_id", "text").mapInPandas(run, "key long, rep long, s array<long>").dropDuplicates(["key"]), "sets")
-    left, right = sets.toDF("a", "ra", "sa"), sets.toDF("b", "rb", "sb")
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.select(
-        F.col("a").alias("ka"), F.col("b").alias("kb"), F.col("ra").alias("a"), F.col("rb").alias("b"),
-        F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("x"),
-    ).filter(100 * F.col("x") >= percent * (F.col("na") + F.col("nb") - F.col("x")))
+    return cut(texts.select("key", "doc_id", "text").mapInPandas(run, "key long, rep long, s array<long>").dropDuplicates(["key"]), "sets")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, most: int = 64, heavy_kept: int = 100_000, hot_from: int = 20_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, most: int = 64, heavy_kept: int = 100_000, hot_from: int = 20_000, block: int = 1024) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document.
 
     Two documents link when ``100 * intersection >= percent * union`` of their n-gram sets; ``component_id`` is the
     smallest doc_id that links reach. Equal sets are one class from the start, so copies cost nothing further.
 
     Columns of the incidence of up to ``most`` classes give all their pairs (of fitting sizes) with counts. Longer
-    columns are not multiplied out: all their members are compared with the column's smallest one, and then only
-    members that are still in different components with each other; links inside a component change nothing. That is
-    exact, and linear in the column where it holds near copies.
+    columns are worked on in pairs of blocks of about ``block`` rows: sizes and places discard most pairs there, and
+    where they do not (many near copies of one text) the block pair's rows are multiplied in memory; it gives back a
+    spanning forest of its links, not all of them, which connects the same documents.
 
     A text without words (or null) has size 0 and its own id; a row without doc_id keeps its size and has no component;
     rows that share an id are one document, with any of their links; an empty table gives no rows. Other columns are
     ignored.
     """
     rows = cut(signatures(docs, size), "signatures")
-    top = rows.filter("n = -1").groupBy("key").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "key").limit(heavy_kept).collect()
-    heavy = np.array([r[0] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(heavy)
-    heavy, counts = heavy[order], np.array([r[1] for r in top], np.int64)[order]
+    top = rows.filter("n = -1").groupBy("key").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "key").limit(heavy_kept).toPandas()
+    top = top.assign(u=top["key"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
+    heavy, counts = top["u"].to_numpy(np.uint64), top["c"].to_numpy(np.int64)
     sig = rows.filter("n >= 0")
     classes = cut(sig.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
 
     entries = prefix_entries(docs.filter("doc_id IS NOT NULL"), heavy, counts, percent, size, hot_from)
     dealt = entries.repartition("g", F.when(F.col("hot"), F.pmod("key", F.lit(64))).otherwise(0)).sortWithinPartitions("g", "n", "key")
     found = cut(dealt.mapInPandas(_product(percent, most), "a long, b long, na int, nb int, g long"), "product")
-    columns = found.filter("g IS NOT NULL").select("g", F.col("a").alias("key"), F.col("na").alias("n")).distinct()
-    columns = cut(columns, "columns")
+    columns = cut(found.filter("g IS NOT NULL").select("g", F.col("a").alias("key"), F.col("na").alias("n"), F.col("nb").alias("pos")).distinct(), "columns")
 
-    # prefix n-grams in long columns are not in the counts: they may all be common
+    # short columns: counts of pairs; prefix n-grams in long columns are not in the counts and may all be common
     missing = columns.groupBy("key").agg(F.count(F.lit(1)).alias("missing"))
     counted = found.filter("g IS NULL").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
     rest = lambda n: F.ceil(F.lit(percent) * F.col(n) / F.lit(100)) - 1  # noqa: E731  what the prefix leaves
     possible = F.col("c") + F.coalesce("missing", F.lit(0)) + F.greatest(rest("na"), rest("nb"))
     short = counted.join(missing.withColumnRenamed("key", "a"), "a", "left").filter(possible >= need).select("a", "b")
-    fits = lambda p, q: (100 * F.least(p, q) >= percent * F.greatest(p, q))
-    first = columns.groupBy("g").agg(F.min(F.struct("n", "key")).alias("f"))
-    star = columns.join(first, "g").filter((F.col("key") != F.col("f.key")) & fits(F.col("n"), F.col("f.n")))
-    star = star.select(F.least("key", "f.key").alias("a"), F.greatest("key", "f.key").alias("b"))
-    links = cut(verified(cut(short.union(star).distinct(), "pairs"), classes, docs, percent, size).select("a", "b"), "links")
-    labels = components(links)
-
-    if columns.limit(1).count():
-        # members of long columns that are not yet in the column's largest component, against all of other components
-        named = columns.join(classes.select("key", "rep"), "key").join(labels, F.col("rep") == F.col("node"), "left")
-        named = cut(named.select("g", "key", "n", F.coalesce("root", "rep").alias("root")), "named")
-        sizes = named.groupBy("g", "root").agg(F.count(F.lit(1)).alias("m"))
-        largest = sizes.groupBy("g").agg(F.max(F.struct("m", "root")).alias("w"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        others = named.join(largest, "g")
-        odd = others.filter("root <> w.root").select("g", F.col("key").alias("k2"), F.col("n").alias("n2"), F.col("root").alias("r2"))
-        more = others.select("g", "key", "n", "root").join(odd, "g").filter((F.col("root") != F.col("r2")) & fits(F.col("n"), F.col("n2")))
-        more = cut(more.select(F.least("key", "k2").alias("a"), F.greatest("key", "k2").alias("b")).distinct(), "pairs")
-        extra = cut(verified(more, classes, docs, percent, size).select("a", "b"), "links")
-        if extra.limit(1).count():
-            labels = components(links.union(extra))
+
+    blocks = columns.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = columns.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "pos")
+    long_ = cut(placed.groupBy("g", "i", "j").applyInPandas(_long_column(percent), "a long, b long, g long, i int, j int, block int"), "long")
+    pairs = cut(short.union(long_.filter("g IS NULL").select("a", "b")).distinct(), "pairs")
+    dense = long_.filter("g IS NOT NULL").select("g", "i", "j", "block", F.col("a").alias("key"))
+
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(dense.select("key")).distinct()
+    sets = sets_of(keys, classes, docs, size)
+    joined = pairs.join(sets.toDF("a", "ra", "sa"), "a").join(sets.toDF("b", "rb", "sb"), "b")
+    joined = joined.select("ra", "rb", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("x"))
+    links = joined.filter(100 * F.col("x") >= percent * (F.col("n") - F.col("x"))).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    product = dense.join(sets, "key").groupBy("g", "i", "j").applyInPandas(_dense(percent), "a long, b long")
+    labels = components(cut(links.union(product), "links"))
 
     of_class = classes.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("root"))
     out = sig.join(of_class, "key", "left")

@@ -356,7 +356,7 @@ def _windows(length: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, length: int = 100, shard_bytes: int = 4_000_000, hot_pieces: int = 200_000) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot_pieces: int = 200_000) -> DataFrame:
     """``doc, start, count``: runs of window starts whose ``length`` bytes also start earlier in the corpus."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     rows = texts.mapInPandas(_anchors(length), _ROWS)
@@ -403,7 +403,7 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 4_000_000, hot_pieces: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot_pieces: int = 200_000) -> DataFrame:
     """``doc_id, n_bytes, spans (array of start, end), kept`` of every document; ``kept`` are the bytes that stay.
 
     A byte goes if a ``length``-byte string that covers it also starts earlier: in a document with a smaller doc_id, or

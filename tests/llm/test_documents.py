@@ -72,7 +72,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("options", [{}, {"most": 2}, {"most": 2, "hot_from": 2}, {"most": 3, "heavy_kept": 0}, {"most": 64, "hot_from": 3}])
+@pytest.mark.parametrize("options", [{}, {"most": 1}, {"most": 1, "block": 3}, {"most": 2, "hot_from": 2}, {"most": 3, "heavy_kept": 0}])
 def test_jaccard_components(docs, texts, options):
     sets = {i: shingles(t) for i, t in texts}
     want = links(sets)
@@ -258,3 +258,18 @@ def test_quality_hosts(spark, empty, odd):
     assert got[101].kept and not got[100].kept and not got[101].host_rejected
     assert quality.quality_rules(empty).collect() == []
     assert quality.quality_rules(odd).count() == 6
+
+
+@pytest.mark.parametrize("options", [{"most": 8, "block": 40}, {"most": 8}, {}])
+def test_jaccard_many_near_copies(spark, options):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.integers(0, 120, int(rng.integers(0, 8))):
+            w[k] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), **options))
+    assert {i: r.component_id for i, r in got.items()} == links(sets)
