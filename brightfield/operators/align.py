@@ -47,7 +47,7 @@ def contrast_pairs(df: DataFrame, by: list[str], class_: str, id_: str) -> DataF
         used[a] = used[a] + (pairs if a != b else 2 * pairs)
         if a != b:
             used[b] = used[b] + pairs
-    plan = sizes.select(*by, F.explode(F.array(*plans)).alias("p")).select(*by, "p.*").filter("pairs > 0")
+    plan = sizes.select(*by, F.explode(F.array(*plans)).alias("plan_row")).select(*by, "plan_row.*").filter("pairs > 0")
     plan = plan.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pairs") - 1)))
     same = F.col("a") == F.col("b")
     plan = plan.select(*by, "kind", "i", "a", "b", F.when(same, F.col("from_a") + 2 * F.col("i") + 1).otherwise(F.col("from_a") + F.col("i") + 1).alias("ka"),

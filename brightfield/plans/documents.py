@@ -64,7 +64,7 @@ def wilson_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AUROC = """
     WITH r AS (SELECT {by} quality, rank() OVER ({part} ORDER BY n_chars) + (count(*) OVER (PARTITION BY {by} n_chars) - 1) / 2 AS r FROM documents JOIN labels USING (doc_id)),
     s AS (SELECT {by} sum(quality)::DOUBLE AS p, sum(1 - quality)::DOUBLE AS q, sum(r) FILTER (quality = 1) AS rs FROM r {group})
-    SELECT {by} p::BIGINT AS n_pos, q::BIGINT AS n_neg, round((rs - p * (p + 1) / 2) / (p * q), 9) AS auroc, round(2 * (rs - p * (p + 1) / 2) / (p * q) - 1, 9) AS rank_biserial FROM s"""
+    SELECT {by} p::BIGINT AS n_pos, q::BIGINT AS n_neg, round((rs - p * (p + 1) / 2) / nullif(p * q, 0), 9) AS auroc, round(2 * (rs - p * (p + 1) / 2) / nullif(p * q, 0) - 1, 9) AS rank_biserial FROM s"""
 
 
 @query(_AUROC.format(by="", part="", group=""))

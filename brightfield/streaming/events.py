@@ -75,8 +75,10 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
 
 
-def run_available(df: DataFrame, checkpoint: str, name: str, mode: str = "append") -> StreamingQuery:
-    """Process what is there and stop; the checkpoint lets the next run go on from it."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(df: DataFrame, checkpoint: str, path: str | None = None, name: str | None = None, mode: str = "append") -> StreamingQuery:
+    """Process what is there and stop. Into Parquet files at ``path`` the next run goes on from the checkpoint; the memory
+    table ``name`` is for looking at results and cannot be resumed."""
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = writer.format("parquet").start(path) if path else writer.format("memory").queryName(name).start()
     query.awaitTermination()
     return query
