@@ -135,3 +135,70 @@ def mixture(sources: list[tuple[DataFrame, int]], id_: str, seed: int) -> DataFr
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out.withColumn("shuffle_key", sample_order(F.concat_ws(":", "source_no", id_), seed))
+
+
+def capped_greedy(df: DataFrame, size: int, order: list[Column], caps: dict[str, int], id_: str) -> DataFrame:
+    """Rows in order under a cap for each value of several columns, until ``size``; raises nothing if it falls short.
+
+    A row beyond the cap in any one column can never be taken before those ahead of it leave room, so each combination
+    of the capped columns gives its first rows only: the walk sees a bounded number of rows, not the table.
+    """
+    names, least = list(caps), min(caps.values())
+    w = Window.partitionBy(*names).orderBy(*order)
+    few = df.withColumn("combo_no", F.row_number().over(w)).filter(F.col("combo_no") <= least).drop("combo_no")
+    few = row_numbers(few, order, "order_no")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in few.schema)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("order_no")
+        used: dict = {}
+        taken = []
+        for i, values in zip(pdf.index, zip(*(pdf[c] for c in names), strict=True), strict=True):
+            keys = list(zip(names, values, strict=True))
+            if len(taken) < size and all(used.get(k, 0) < caps[k[0]] for k in keys):
+                taken.append(i)
+                for k in keys:
+                    used[k] = used.get(k, 0) + 1
+        return pdf.loc[taken].drop(columns="all_rows")
+
+    return few.withColumn("all_rows", F.lit(1)).groupBy("all_rows").applyInPandas(run, schema)
+
+
+def size_matched(pool: DataFrame, reference: DataFrame, key: str, id_: str, sizes: tuple[str, ...], seed: int) -> DataFrame:
+    """For each key as many rows as the reference has, chosen one by one so that the running sums of sizes follow the reference's.
+
+    Each choice takes the row that brings the first size nearest to its share of the reference's total, then the second;
+    ties fall by hash order. Keys are worked on apart.
+    """
+    wanted = reference.groupBy(key).agg(F.count(F.lit(1)).alias("wanted"), *(F.sum(c).alias(f"goal_{c}") for c in sizes))
+    rows = pool.withColumn("draw_key", sample_order(F.col(id_), seed)).join(wanted, key)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema)
+    columns = list(pool.columns)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("draw_key").reset_index(drop=True)
+        n = min(int(pdf["wanted"].iloc[0]), len(pdf))
+        goals = [float(pdf[f"goal_{c}"].iloc[0]) for c in sizes]
+        left, sums, taken = list(pdf.index), [0.0] * len(sizes), []
+        values = [pdf[c].to_numpy(float) for c in sizes]
+        for k in range(1, n + 1):
+            best = min(left, key=lambda i: tuple(abs(s + v[i] - g * k / n) / max(1.0, g) for s, v, g in zip(sums, values, goals, strict=True)))
+            left.remove(best)
+            taken.append(best)
+            sums = [s + v[best] for s, v in zip(sums, values, strict=True)]
+        return pdf.loc[taken, columns]
+
+    return rows.groupBy(key).applyInPandas(run, schema)
+
+
+def closest_draw(pool: DataFrame, reference: DataFrame, key: str, id_: str, sizes: tuple[str, ...], attempts: int = 32) -> DataFrame:
+    """The best of several matched draws: the one whose size sums are nearest, in the worst of the sizes, to the reference's."""
+    wanted = reference.groupBy(key).agg(F.count(F.lit(1)).alias("wanted"))
+    copies = pool.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    w = Window.partitionBy("attempt", key).orderBy(F.sha2(F.concat_ws(":", "attempt", F.col(id_).cast("string")), 256), id_)
+    drawn = copies.withColumn("draw_no", F.row_number().over(w)).join(wanted, key).filter("draw_no <= wanted").drop("draw_no", "wanted")
+    goal = reference.agg(*(F.sum(c).alias(f"goal_{c}") for c in sizes)).withColumn("k", F.lit(1))
+    sums = drawn.groupBy("attempt").agg(*(F.sum(c).alias(c) for c in sizes)).withColumn("k", F.lit(1)).join(goal, "k")
+    error = F.greatest(*(F.abs(F.col(c) - F.col(f"goal_{c}")) / F.greatest(F.col(f"goal_{c}"), F.lit(1)) for c in sizes), F.lit(0.0))
+    best = sums.agg(F.min_by("attempt", F.struct(error, F.col("attempt"))).alias("attempt"))
+    return drawn.join(best, "attempt")

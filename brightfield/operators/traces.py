@@ -1,0 +1,157 @@
+"""Diagnostics of generated traces: recurrence, loops, markers, answers, hidden-state paths."""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text as X
+
+# Markers that a reasoning trace is scanned for.
+MARKERS = {
+    "opens": r"(?i)\b(alternatively|another approach|what if|let me try|different (approach|route|way)|instead,)\b",
+    "waits": r"(?i)\bwait\b",
+    "verifies": r"(?i)\b(let'?s|let me|i'?ll|i will|we)\s+(double[- ]?check|verify|check|confirm|re-?check|re-?verify)\b|\bverification\b",
+    "elims": r"(?i)\b(rule[sd]? out|eliminate[sd]?|cannot be|can'?t be|not possible|impossible|invalid)\b",
+    "closures": r"(?i)(final answer|i'?ll write|i will (now )?(write|output|present)|let me (now )?(write|output|present)|ready to (write|output)|i'?m (ready|confident)|formulate the (response|answer))",
+}
+
+
+def recurrence(text: Column, size: int = 8, head: int = 200, least: int = 220) -> Column:
+    """Share of word n-grams beyond the first ``head`` places that stand earlier in the text; 0 for short texts.
+
+    A place repeats unless it is the first of its n-gram, so counts of distinct n-grams answer it: those of the whole
+    text less those of its head are the firsts beyond the head.
+    """
+
+    def share(words: Column) -> Column:
+        # the last n-gram of a text does not count
+        return X.let(X.ngrams(F.slice(words, 1, F.size(words) - 1), size), lambda g: X.let(F.size(g) - head, lambda n: F.when(n > 0, (n - (F.size(F.array_distinct(g)) - F.size(F.array_distinct(F.slice(g, 1, head))))) / n).otherwise(0.0)))
+
+    return X.let(X.split_words(text), lambda w: F.when(F.size(w) >= least, share(w)).otherwise(0.0))
+
+
+def _z(s: str) -> np.ndarray:
+    """Length of the common prefix of ``s`` with each of its suffixes."""
+    n = len(s)
+    z, left, right = [0] * n, 0, 0
+    for i in range(1, n):
+        k = min(right - i, z[i - left]) if i < right else 0
+        while i + k < n and s[k] == s[i + k]:
+            k += 1
+        z[i] = k
+        if i + k > right:
+            left, right = i, i + k
+    return np.array(z, np.int64)
+
+
+def find_terminal_loop(text: str, least_period: int = 40, repeats: int = 3, tail: int = 200_000) -> dict | None:
+    """The longest end of a text that repeats one unit: period, whole repeats, and where they begin.
+
+    Read backwards, a period p holds as far as the text agrees with itself shifted by p, so one pass over the reversed
+    text gives every period's extent. Of equal extents the shortest period counts.
+    """
+    end = text[-tail:]
+    n = len(end)
+    if n < least_period * repeats:
+        return None
+    p = np.arange(least_period, n // repeats + 1)
+    whole = 1 + _z(end[::-1])[p] // p
+    cover = np.where(whole >= repeats, whole * p, 0)
+    if not cover.any():
+        return None
+    best = int(cover.argmax())
+    onset = len(text) - int(cover[best])
+    return {"period_chars": int(p[best]), "repeats": int(whole[best]), "onset_char": onset, "post_onset_frac": (len(text) - onset) / len(text)}
+
+
+_LOOP = T.StructType([T.StructField(n, t()) for n, t in (("period_chars", T.LongType), ("repeats", T.LongType), ("onset_char", T.LongType), ("post_onset_frac", T.DoubleType))])
+
+
+@F.pandas_udf(_LOOP)
+def terminal_loop(text: pd.Series) -> pd.DataFrame:
+    names = ["period_chars", "repeats", "onset_char", "post_onset_frac"]
+    found = [find_terminal_loop(t or "") or dict.fromkeys(names) for t in text]
+    return pd.DataFrame(found, columns=names).astype({c: "Int64" for c in names[:3]})
+
+
+def marker_counts(text: Column) -> dict[str, Column]:
+    """Counts of the markers before the end of the reasoning."""
+    think = F.substring_index(text, "</think>", 1)
+    return {name: F.regexp_count(think, F.lit(p)).cast("long") for name, p in MARKERS.items()}
+
+
+@F.pandas_udf(T.DoubleType())
+def repeated_verification(text: pd.Series) -> pd.Series:
+    """Share of verification episodes (400 characters from a marker) that resemble an earlier one: 3-gram Jaccard of one half."""
+    marker = re.compile(MARKERS["verifies"].removeprefix("(?i)"), re.I)
+
+    def share(t: str) -> float:
+        think = t.split("</think>")[0]
+        grams = []
+        for m in marker.finditer(think):
+            w = think[m.start() : m.start() + 400].lower().split()
+            grams.append({tuple(w[i : i + 3]) for i in range(len(w) - 2)})
+        again = sum(any(2 * len(g & e) >= len(g | e) for e in grams[:i] if e) for i, g in enumerate(grams) if g)
+        return again / len(grams) if grams else 0.0
+
+    return text.fillna("").map(share)
+
+
+def norm_answer(text: Column) -> Column:
+    """Lower case, one kind of arrow and dash, no outer punctuation, single spaces."""
+    t = F.translate(F.lower(F.coalesce(text, F.lit(""))), "→–—−", ">---")
+    return F.trim(F.regexp_replace(F.trim(t, F.lit(" .,;:!*`\"'\n\t")), r"\s+", " "))
+
+
+def match_mode(completion: Column, gold: Column) -> Column:
+    """How an answer agrees with the gold text: the first of five ways, or ``none``."""
+    shown = X.visible_answer(completion)
+    line = F.coalesce(X.last_answer_line(shown), X.last_answer_line(completion))
+    g, v, li = norm_answer(gold), norm_answer(shown), norm_answer(line)
+    a = F.when(line.isNotNull(), X.parse_number(line)).otherwise(X.parse_number(F.substring(shown, -200, 200)))
+    near = F.coalesce(F.abs(X.parse_number(gold) - a) <= 0.011, F.lit(False)) & (F.length(g) <= 12)
+    long = F.length(g) >= 4
+    return (
+        F.when((g != "") & (v == g), "exact_visible").when((g != "") & (li == g), "exact_answer_line").when(long & v.contains(g), "gold_in_visible")
+        .when(long & li.contains(g), "gold_in_answer_line").when(near, "numeric").otherwise("none")
+    )
+
+
+def difficulty_band(k: Column, n: Column) -> Column:
+    """DEAD-HARD, DEAD-EASY or LIVE, starred in the middle."""
+    return F.when(k == 0, "DEAD-HARD").when(k == n, "DEAD-EASY").when(k.between(2, F.greatest(n - 3, F.lit(2))), "LIVE*").otherwise("LIVE")
+
+
+def thirds(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """Means of the first, second and last third of each series (the last takes the remainder) and their trend."""
+    part = Window.partitionBy(*by)
+    rows = df.withColumn("n_rows", F.count(F.lit(1)).over(part)).withColumn("row_no", F.row_number().over(part.orderBy(order)) - 1)
+    third = F.least(F.floor(F.col("row_no") / F.greatest(F.floor(F.col("n_rows") / 3), F.lit(1))), F.lit(2))
+    means = [F.avg(F.when(third == i, F.col(value))).alias(name) for i, name in enumerate(("early", "mid", "late"))]
+    return rows.groupBy(*by).agg(*means).withColumn("trend", F.col("late") - F.col("early"))
+
+
+def path_features(df: DataFrame, by: str, order: str, vector: str, lag: int = 50, similar: float = 0.92) -> DataFrame:
+    """``grp, recur_density, tortuosity`` of each path of vectors: share of states like one at least ``lag`` earlier, and path over chord."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = np.array([np.asarray(v, np.float32) for v in pdf.sort_values("ord")["v"]])
+        unit = h / (np.linalg.norm(h, axis=1, keepdims=True) + 1e-8)
+        at = np.arange(lag + 1, len(h))
+        hits = 0
+        for part in np.array_split(at, max(1, len(at) // 512)):  # blocks of rows against all earlier ones
+            if len(part):
+                sims = unit[part] @ unit[: part[-1]].T
+                sims[np.arange(sims.shape[1])[None] >= (part - lag)[:, None]] = -1
+                hits += int((sims.max(1) > similar).sum())
+        path = float(np.linalg.norm(np.diff(h, axis=0), axis=1).sum())
+        return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "recur_density": [hits / max(1, len(at))], "tortuosity": [path / (float(np.linalg.norm(h[-1] - h[0])) + 1e-8)]})
+
+    rows = df.select(F.col(by).cast("string").alias("grp"), F.col(order).alias("ord"), F.col(vector).alias("v"))
+    return rows.groupBy("grp").applyInPandas(run, "grp string, recur_density double, tortuosity double")

@@ -35,7 +35,7 @@ class Tables:
         return read_table(self._spark, self._dir, name)
 
 
-from . import conversations, documents, events, extensions, runs, vectors  # noqa: E402, F401  they register their queries
+from . import conversations, documents, events, extensions, runs, traces, vectors  # noqa: E402, F401  they register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

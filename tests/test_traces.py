@@ -1,0 +1,142 @@
+"""Trace, graph, judge and capped-selection operators against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+from brightfield.operators import graphs, judge, select, traces
+from pyspark.sql import functions as F
+
+
+def brute_loop(t, least=40, repeats=3):
+    n, best = len(t), None
+    for p in range(least, n // repeats + 1):
+        k = 1
+        while (k + 1) * p <= n and t[n - (k + 1) * p : n - k * p] == t[n - p :]:
+            k += 1
+        if k >= repeats and (best is None or k * p > best[0] * best[1]):
+            best = (p, k)
+    return best
+
+
+def test_terminal_loops():
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("ab ") for _ in range(n))
+    cases = [word(50) + word(45) * 4, word(300), "x" * 500, word(10) + (word(20) * 3) * 5, "", word(41) * 2, word(30) + (word(60) + "." ) * 3]
+    for t in cases:
+        got, want = traces.find_terminal_loop(t), brute_loop(t)
+        assert (got and (got["period_chars"], got["repeats"])) == want
+        if got:
+            assert got["onset_char"] == len(t) - want[0] * want[1]
+
+
+def test_recurrence(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (219, 220, 260, 500)] + [" ".join(f"w{i % 230}" for i in range(600)), ""]
+
+    def brute(t):
+        w = t.split()
+        if len(w) < 220:
+            return 0.0
+        seen, total, again = set(), 0, 0
+        for i in range(len(w) - 8):
+            g = tuple(w[i : i + 8])
+            if i >= 200:
+                total += 1
+                again += g in seen
+            seen.add(g)
+        return again / max(1, total)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", traces.recurrence(F.col("t")).alias("r"))
+    assert {r.i: pytest.approx(r.r) for r in df.collect()} == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_answers_and_bands(spark):
+    cases = [("<think>x</think>42", "42", "exact_visible"), ("so\nAnswer: Paris.", "paris", "exact_answer_line"), ("it is in Paris, I say", "Paris", "gold_in_visible"), ("Answer: 7.005", "7", "numeric"), ("Answer: 8", "7", "none"), ("no", "yes", "none")]
+    df = spark.createDataFrame(cases, "c string, g string, want string").withColumn("got", traces.match_mode(F.col("c"), F.col("g")))
+    assert [r for r in df.collect() if r.got != r.want] == []
+    bands = spark.createDataFrame([(0, 8), (8, 8), (1, 8), (2, 8), (5, 8), (6, 8)], "k int, n int").select(traces.difficulty_band(F.col("k"), F.col("n")).alias("b"))
+    assert [r.b for r in bands.collect()] == ["DEAD-HARD", "DEAD-EASY", "LIVE", "LIVE*", "LIVE*", "LIVE"]
+
+
+def test_graph_tasks(spark):
+    seeds = spark.range(60).select("id", (F.col("id") % 7 + 1).cast("int").alias("depth"))
+    tasks = graphs.generate(seeds)
+    states = graphs.evaluate(F.col("nodes"), F.col("updates"))
+    rows = tasks.select("*", states.alias("states"), graphs.ancestors(F.col("nodes"), F.col("query")).alias("up"), graphs.symbolic_hash(F.col("nodes"), F.col("updates"), F.col("query")).alias("h")).collect()
+    again = {r.id: r.h for r in graphs.generate(seeds.repartition(3)).select("id", graphs.symbolic_hash(F.col("nodes"), F.col("updates"), F.col("query")).alias("h")).collect()}
+    for r in rows:
+        value = {n.node: n.value for n in r.nodes if n.kind != "derived"}
+        for u in r.updates:
+            value[u.node] = {"SET TRUE": True, "SET FALSE": False}.get(u.action, not value[u.node])
+        parents = {}
+        for n in r.nodes:
+            parents[n.node] = list(n.parents)
+            if n.kind == "derived":
+                p = [value[x] for x in n.parents]
+                value[n.node] = {"COPY": p[0], "NOT": not p[0], "AND": all(p), "OR": any(p)}[n.op]
+        seen, todo = set(), list(parents[r.query])
+        while todo:
+            if (x := todo.pop()) not in seen:
+                seen.add(x)
+                todo += parents[x]
+        assert r.states == value and set(r.up) == seen and again[r.id] == r.h
+
+
+def test_trace_scores(spark):
+    gold = "TRACE: T,F,T\nFINAL: YES"
+    cases = [(gold, (True, 1.0, True, True)), ("TRACE: T, T,T\nFINAL: NO", (True, 2 / 3, False, False)), ("TRACE: T,F,T,T\nFINAL: YES", (True, 0.75, False, True)), ("<think>TRACE: T\nFINAL: YES", (False, 0.0, False, False)), (None, (False, 0.0, False, False))]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, t string").select("i", graphs.score_trace(F.col("t"), F.lit(gold)).alias("s"))
+    for r in df.collect():
+        assert tuple(r.s) == pytest.approx(cases[r.i][1])
+
+
+def test_ranks_and_labels(spark):
+    got = spark.range(1).select(judge.group_ranks(F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("c")))).alias("m")).first().m
+    assert got == {"a": 0.5, "b": 0.5, "c": 2.0}
+    orders = spark.range(1).select(judge.blind_labels(F.lit("s"), F.lit(1)).alias("o")).first().o
+    assert len(orders) == 3 and all({o[i] for o in orders} == {"A", "B", "C"} for i in range(3))
+    votes = spark.createDataFrame([(1, "x", 3), (1, "y", 1), (1, "y", 4), (1, "x", 2), (2, "z", 9)], "case int, arm string, at int")
+    assert {r.case: r.arm for r in judge.majority(votes, ["case"], "arm", "at").collect()} == {1: "y", 2: "z"}
+
+
+def test_assessments(spark):
+    sessions = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "session_id string")
+    scores = spark.createDataFrame([("a", "x", 9.0), ("a", "y", 3.0), ("b", "x", 4.0), ("d", "x", 4.0), ("d", "y", 4.0), ("z", "x", 1.0), ("a", "other", 0.0)], "session_id string, criterion_id string, score double")
+    criteria = spark.createDataFrame([("x", 2.0), ("y", 3.0)], "criterion_id string, min_score double")
+    own = spark.createDataFrame([("d", "critical")], "session_id string, severity string")
+    got = {r.session_id: (r.scored, r.missing, r.overall, r.passed, r.error) for r in judge.assess(sessions, scores, criteria, own).collect()}
+    assert got == {"a": (2, 0, 3.5, True, None), "b": (1, 1, 4.0, False, None), "c": (0, 2, 0.0, False, "judge omitted this session"), "d": (2, 0, 4.0, False, None)}
+
+
+def test_capped_greedy(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("ab"), rng.choice("pqr"), rng.random()) for i in range(300)]
+    got = [r.id for r in select.capped_greedy(spark.createDataFrame(rows, "id long, x string, y string, s double"), 20, [F.desc("s"), F.col("id")], {"x": 12, "y": 8}, "id").orderBy("order_no").collect()]
+    want, used = [], {}
+    for i, x, y, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if len(want) < 20 and used.get(x, 0) < 12 and used.get(y, 0) < 8:
+            want.append(i)
+            used[x], used[y] = used.get(x, 0) + 1, used.get(y, 0) + 1
+    assert got == want
+
+
+def test_matched_draws(spark):
+    rng = random.Random(3)
+    pool = spark.createDataFrame([(i, f"k{i % 2}", rng.randrange(1, 100)) for i in range(200)], "id long, k string, n long")
+    reference = spark.createDataFrame([(1000 + i, f"k{i % 2}", 30) for i in range(20)], "id long, k string, n long")
+    picked = select.size_matched(pool, reference, "k", "id", ("n",), 1)
+    assert {r.k: (r["count(1)"], abs(r["sum(n)"] - 300) <= 6) for r in picked.groupBy("k").agg(F.count(F.lit(1)), F.sum("n")).collect()} == {"k0": (10, True), "k1": (10, True)}
+    best = select.closest_draw(pool, reference, "k", "id", ("n",), 8).agg(F.sum("n")).first()[0]
+    all_ = [select.closest_draw(pool, reference, "k", "id", ("n",), n).agg(F.sum("n")).first()[0] for n in (1, 3)]
+    assert abs(best - 600) <= min(abs(x - 600) for x in all_)
+
+
+def test_paths(spark):
+    circle = [(0, i, [float(np.cos(i / 5)), float(np.sin(i / 5))]) for i in range(100)] + [(1, i, [float(i), 1.0 + i]) for i in range(20)]
+    got = {r.grp: r for r in traces.path_features(spark.createDataFrame(circle, "g int, t int, v array<double>"), "g", "t", "v", lag=10, similar=0.99).collect()}
+    assert got["0"].recur_density > 0.6 and got["1"].tortuosity == pytest.approx(1.0, abs=1e-4)
+    h = np.array([c[2] for c in circle if c[0] == 0])
+    sims = h @ h.T
+    want = np.mean([sims[t, : t - 10].max() > 0.99 for t in range(11, 100)])
+    assert got["0"].recur_density == pytest.approx(want)
