@@ -48,6 +48,25 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Bound what a Python worker holds at once: batches of few rows and bytes, however long the texts are."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        spark.conf.set(key, value)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker lives on after its task, beside those of other tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective mixing of unsigned 64-bit integers (a multiply-xorshift finaliser)."""
     x = x.astype(np.uint64, copy=True)

@@ -85,7 +85,7 @@ def in_filter(keys: np.ndarray, seed: int, length: int, segments: int, cells: by
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """``doc_id, sha, bucket_key, batch`` of each row; ``sha`` is the digest of the normalised text in UTF-8."""
+    """``doc_id, sha`` of each row; ``sha`` is the digest of the normalised text in UTF-8."""
     sha = F.sha2(normalised(F.col("text")).cast("binary"), 256)
     return docs.select("doc_id", sha.alias("sha"))
 

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Elements whose content is never text of the page.
 SKIPPED = "script|style|noscript|template|svg|iframe|object|select|textarea|math|canvas|audio|video|title"
 BLOCKS = frozenset(
@@ -323,6 +325,7 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
     are extracted each; an empty table gives no rows. Whole pages are read, whatever their length. Other columns are
     ignored. ``model`` is what :func:`train` returns; without one it is trained from :func:`labelled_pages`.
     """
+    small_batches(pages.sparkSession)
     weights, edge = model or train(labelled_pages())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, mix64, near_filter
+from .common import Words, components, cut, mix64, near_filter, release_memory, small_batches
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 2_000_000  # characters whose n-grams are hashed at a time
@@ -56,12 +56,21 @@ def _class_key(s: np.ndarray) -> int:
 
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
     """``doc_id, n, key`` of each document, and rows ``n = -1, key, count`` of n-grams
-    that stand in several different sets of one batch of rows."""
+    that stand in several different sets among about five million n-grams of one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: set[int] = set()
+        fresh: list[np.ndarray] = []
+        held = 0
+
+        def shared() -> pd.DataFrame:
+            values = np.sort(np.concatenate([*fresh, np.zeros(0, np.uint64)]))
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(first, len(values)))
+            values, counts = values[first[counts > 1]], counts[counts > 1]
+            return pd.DataFrame({"doc_id": pd.array([None] * len(values), "Int64"), "n": -1, "key": values.view(np.int64), "count": counts})
+
         for pdf in batches:
-            fresh = []
             for part, sets in _each(pdf, size):
                 keys = [_class_key(s) if len(s) else 0 for s in sets]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "key": keys, "count": 0})
@@ -69,11 +78,16 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
                     if k not in met:
                         met.add(k)
                         fresh.append(s)
-                if len(met) > 1_000_000:
-                    met.clear()
-            values, counts = np.unique(np.concatenate([*fresh, np.zeros(0, np.uint64)]), return_counts=True)
-            values, counts = values[counts > 1], counts[counts > 1]
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(values), "Int64"), "n": -1, "key": values.view(np.int64), "count": counts})
+                        held += len(s)
+            if len(met) > 1_000_000:
+                met.clear()
+            if held > 5_000_000:
+                yield shared()
+                fresh.clear()
+                held = 0
+        yield shared()
+        fresh.clear()
+        release_memory()
 
     return _texts(docs).mapInPandas(run, "doc_id long, n long, key long, count long")
 
@@ -115,6 +129,7 @@ def prefix_entries(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, perce
                 if grams:
                     lengths = [len(x) for x in grams]
                     yield pd.DataFrame({"g": np.concatenate(grams).view(np.int64), "key": np.repeat(np.array(keys, np.int64), lengths), "n": np.repeat(np.array(ns, np.int32), lengths), "pos": np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]), "hot": np.concatenate(hots)})
+            release_memory()
 
     return _texts(docs).mapInPandas(run, "g long, key long, n int, pos int, hot boolean")
 
@@ -166,6 +181,7 @@ def _product(percent: int, most: int):
                 held = [one.iloc[:1].assign(hot=True)]
         if held:
             yield from work(pd.concat(held))
+        release_memory()
 
     return run
 
@@ -260,6 +276,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, most:
     rows that share an id are one document, with any of their links; an empty table gives no rows. Other columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     rows = cut(signatures(docs, size), "signatures")
     top = rows.filter("n = -1").groupBy("key").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "key").limit(heavy_kept).toPandas()
     top = top.assign(u=top["key"].to_numpy(np.int64).view(np.uint64)).sort_values("u")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64
+from .common import Words, mix64, release_memory, small_batches
 
 BITS = 17  # features are hashed to 2**BITS rows of weights
 LENGTHS = (1, 2, 3, 4)
@@ -208,6 +208,7 @@ def language_id(docs: DataFrame, model: Model | None = None, max_docs: int = 150
     row). A null doc_id counts as not held out. Repeated rows are predicted each; an empty table gives no rows; other
     columns are ignored. ``model``: what :func:`fit` or :func:`train` returns; by default it is fitted on ``docs``.
     """
+    small_batches(docs.sparkSession)
     model = model or fit(docs, max_docs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,6 +219,7 @@ def language_id(docs: DataFrame, model: Model | None = None, max_docs: int = 150
                 texts = pdf["text"].to_numpy(object)
                 lang[some], score[some] = predict(model, [texts[i] for i in some])
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": lang, "score": score})
+            release_memory()
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"),
@@ -229,12 +231,15 @@ def language_id(docs: DataFrame, model: Model | None = None, max_docs: int = 150
 def with_language(docs: DataFrame, model: Model, column: str = "language") -> DataFrame:
     """``docs`` with one more column ``column`` (struct of ``lang_pred, score``), by the rules of :func:`language_id`; the rest stays in the JVM."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double")
     def label(text: pd.Series, letters: pd.Series) -> pd.DataFrame:
         lang, score = np.full(len(text), "und", object), np.zeros(len(text))
         some = np.flatnonzero(letters.to_numpy(bool)) if model.langs else []
         if len(some):
             lang[some], score[some] = predict(model, [text.iloc[i] for i in some])
+        release_memory()
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     return docs.withColumn(column, label(F.col("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))))

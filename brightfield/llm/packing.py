@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: Pre-tokenizer pattern of the byte-level vocabulary: a fixed value of that vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,5 +176,6 @@ def best_fit_packing(docs: DataFrame, cap: int = 2048, vocabulary: str | None =
     Null text is empty: one piece that holds the end id. Repeated rows are packed each; a null doc_id is kept. Ties in
     length are packed in order of doc_id, piece. An empty table gives no rows. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     packed = pack(cut(tokenised_pieces(docs, cap, vocabulary=vocabulary), "pieces"), cap)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

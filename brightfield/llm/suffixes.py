@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, mix64, near_filter, segment_hash
+from .common import BASE, cut, mix64, near_filter, release_memory, segment_hash, small_batches
 
 GRAM = 32
 BLOCK = 1 << 20  # bytes whose anchors are found at a time: places must fit in 20 bits
@@ -244,6 +244,7 @@ def _anchors(length: int):
                 later[first] = False
                 marks = pd.arrays.IntegerArray(anchor.view(np.int64), later)
                 yield pd.DataFrame({"anchor": marks, "whole": whole.view(np.int64), "doc": np.array(ids, np.int64)[number], "start": start, "count": count})
+            release_memory()
 
     return run
 
@@ -339,6 +340,7 @@ def _shards(length: int, shard_bytes: int):
                 size += int(lengths[part[-1]] - (lengths[part[0] - 1] if part[0] else 0))
         if held:
             yield work(pd.concat(held), None)
+        release_memory()
 
     return run
 
@@ -358,6 +360,7 @@ def _windows(length: int):
 
 def repeated_windows(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot_pieces: int = 200_000) -> DataFrame:
     """``doc, start, count``: runs of window starts whose ``length`` bytes also start earlier in the corpus."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     rows = texts.mapInPandas(_anchors(length), _ROWS)
     spread = F.when(F.col("anchor").isNull(), F.col("doc")).otherwise(F.col("anchor"))
