@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,33 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started: once an application, as a Spark file.
+
+    Nothing is sent where local workers find it anyway, by the working folder or PYTHONPATH.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    known = {os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    if context.master.startswith("local") and root in known:
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="brightfield-"), "brightfield.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    context.addPyFile(target)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which all executors see; a temporary folder only where a local session sets none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
