@@ -242,3 +242,52 @@ def response_violation(text: Column, mode: Column, calendar: Column, messaging:
         .when(business & ~invoice & text.rlike(P.PRICED_TOTAL), "invented_amount")
         .when(business & ~amount & text.rlike(P.AMOUNT) & text.contains("$"), "invented_amount")
     )
+
+
+def classify_terms(text: Column, terms: dict[str, list[str]], otherwise: str = "general_business") -> Column:
+    """Name whose terms occur most often as parts of the text; ties go to the one declared first, no hit to ``otherwise``."""
+    lower = F.lower(text)
+    scores = [sum((count_occurrences(lower, F.lit(t)) for t in words), F.lit(0)) for words in terms.values()]
+    most = F.greatest(*scores) if len(scores) > 1 else scores[0]
+    out = F.when(most == 0, otherwise)
+    for name, score in zip(terms, scores, strict=True):
+        out = out.when(score == most, name)
+    return out
+
+
+def render(template: str, values: dict[str, Column]) -> Column:
+    """A template with each ``{name}`` filled in; every value must be asked for, and every name given."""
+    import re
+
+    names = set(re.findall(r"\{(\w+)\}", template))
+    if names != set(values):
+        raise ValueError(f"template and values differ in {sorted(names ^ set(values))}")
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value.cast("string"))
+    return out
+
+
+def spoken_history(turns: Column, names: dict[str, str]) -> Column:
+    """An array of ``role, text`` as lines with speaker names; an unknown role speaks under its own name."""
+    table = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.coalesce(F.try_element_at(table, t["role"]), t["role"]), F.lit(": "), t["text"])), "\n")
+
+
+def prompt_of(prose: Column, question: Column, instruction: str) -> Column:
+    """Prose, the question unless the prose holds it, and the instruction, a blank line between."""
+    asked = F.when(~prose.contains(question), question)
+    return F.concat_ws("\n\n", prose, asked, F.lit(instruction))
+
+
+def flag_blocks(text: Column) -> Column:
+    """Blocks that a review opens with a bracketed class: array of ``class, trace, start, end`` (quotes as written)."""
+    blocks = F.filter(F.split(text, "(?=\u27e6)"), lambda b: b.startswith("\u27e6"))
+    field = lambda b, name: F.nullif(F.trim(F.regexp_extract(b, rf"(?is)\b{name}\s*:\s*\"?(.*?)\"?\s*(?:\||\u27e7|$)", 1)), F.lit(""))
+    return F.transform(blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, "^\u27e6\\s*([A-Z_]+)", 1)).alias("class"), field(b, "trace").alias("trace"), field(b, "start").alias("start"), field(b, "end").alias("end")))
+
+
+def token_range(offsets: Column, start: Column, end: Column) -> Column:
+    """First and last token (from 0) of an array of ``start, end`` character offsets that touch a span; null if none does."""
+    hit = F.filter(F.transform(offsets, lambda o, i: F.when((o["start"] < end) & (o["end"] > start), i)), lambda i: i.isNotNull())
+    return let(hit, lambda h: F.when(F.size(h) > 0, F.struct(F.get(h, F.lit(0)).alias("first"), F.get(h, F.size(h) - 1).alias("last"))))

@@ -111,3 +111,34 @@ def agreement(left: DataFrame, right: DataFrame, key: list[str], value: str) ->
         F.count(F.lit(1)).alias("n"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("agreement"),
         F.count_if(F.col("x") & ~F.col("y")).alias("lost"), F.count_if(~F.col("x") & F.col("y")).alias("gained"),
     )
+
+
+def span_agreement(matched: DataFrame, left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """One row: pairs of each kind, the share of matched spans among matched and one-sided ones, and boundary drift.
+
+    Pairs that disagree in class are left out of the share. Drift quantiles are elements of the sorted drifts.
+    """
+    kinds = matched.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("matched", "class_conf", "a_only", "b_only"))).withColumn("k", F.lit(1))
+    a = left.select(*key, F.col("no").alias("left_no"), F.col("start").alias("s0"), F.col("end").alias("e0"))
+    b = right.select(*key, F.col("no").alias("right_no"), F.col("start").alias("s1"), F.col("end").alias("e1"))
+    pairs = matched.filter("kind = 'matched'").join(a, [*key, "left_no"]).join(b, [*key, "right_no"])
+    drift = pairs.select(F.explode(F.array(F.abs(F.col("s0") - F.col("s1")), F.abs(F.col("e0") - F.col("e1")))).alias("d"))
+    at = lambda q: F.get(F.col("ds"), F.least(F.size("ds") - 1, F.floor(F.size("ds") * q).cast("int")))
+    drifts = drift.agg(F.sort_array(F.collect_list("d")).alias("ds")).select(at(0.5).alias("drift_median"), at(0.9).alias("drift_p90"), F.lit(1).alias("k"))
+    share = F.col("matched") / F.nullif(F.col("matched") + F.col("a_only") + F.col("b_only"), F.lit(0))
+    return kinds.join(drifts, "k").withColumn("agreement", share).drop("k")
+
+
+def preference_pairs(chosen: DataFrame, rejected: DataFrame, place: str, text: str) -> DataFrame:
+    """Rows at the same place side by side, both with a text and not the same one but for case and white space."""
+    from ..functions.text import normalise
+
+    both = chosen.select(place, F.col(text).alias("chosen")).join(rejected.select(place, F.col(text).alias("rejected")), place)
+    some = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    return both.filter(some("chosen") & some("rejected") & (normalise(F.col("chosen")) != normalise(F.col("rejected"))))
+
+
+def first_onsets(positions: DataFrame, trace: list[str], prompt: list[str], at: str) -> DataFrame:
+    """The earliest position of each trace, then the first trace of each prompt."""
+    first = positions.groupBy(*trace).agg(F.min(at).alias(at))
+    return first.groupBy(*prompt).agg(F.min(F.struct(*[c for c in trace if c not in prompt], F.col(at))).alias("first"))

@@ -171,3 +171,26 @@ def sessionise(events: DataFrame, by: list[str], time: str, gap_seconds: int) ->
     micros = F.unix_micros(F.col(time).cast("timestamp"))
     begins = micros - F.lag(micros).over(w) > gap_seconds * 1_000_000
     return events.withColumn("begins", F.coalesce(begins.cast("int"), F.lit(0))).withColumn("session_no", F.sum("begins").over(w)).drop("begins")
+
+
+def log_summary(rows: DataFrame, by: list[str], step: str, values: list[str]) -> DataFrame:
+    """First and last step of each log, and of each value its ends, mean, population deviation and maximum."""
+    aggs = [F.min(step).alias("first_step"), F.max(step).alias("last_step")]
+    for v in values:
+        aggs += [F.min_by(v, step).alias(f"{v}_first"), F.max_by(v, step).alias(f"{v}_last"), F.avg(v).alias(f"{v}_mean"), F.stddev_pop(v).alias(f"{v}_std"), F.max(v).alias(f"{v}_max")]
+    return rows.groupBy(*by).agg(*aggs)
+
+
+def run_id(stage: Column, at: Column, suffix: Column | None = None) -> Column:
+    """Time, stage and suffix of a new run."""
+    return F.concat_ws("-", F.date_format(at, "yyyyMMdd'T'HHmmss"), stage, *([suffix] if suffix is not None else []))
+
+
+def over_budget(rows: DataFrame, actual: str, planned: str, tolerance: float) -> DataFrame:
+    """Rows whose relative difference from the plan exceeds the tolerance: must be empty."""
+    return rows.filter(F.abs(F.col(actual) - F.col(planned)) / F.greatest(F.abs(F.col(planned)), F.lit(1)) > tolerance)
+
+
+def fallback_series(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """The series of one source, and from the other those whose key the first lacks."""
+    return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti"))

@@ -244,3 +244,65 @@ def group_advantages(df: DataFrame, by: list[str], reward: str, eps: float = 1e-
     """``advantage``: reward less its group's mean, over the group's standard deviation plus ``eps``."""
     sums = df.groupBy(*by).agg(F.avg(reward).alias("group_mean"), F.stddev_pop(reward).alias("group_std"))
     return df.join(sums, by).withColumn("advantage", (F.col(reward) - F.col("group_mean")) / (F.col("group_std") + eps))
+
+
+def coordinate_summary(df: DataFrame, column: str) -> DataFrame:
+    """``n, mean, upper_median`` of a column: the median is the element at place n // 2 of the sorted values, never a mean of two.
+
+    Values are counted first, so the walk is over distinct values.
+    """
+    counted = running(df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("m")), [F.col("v")], {"below": "m"}, "summary")
+    total = counted.agg(F.sum("m").alias("n"), (F.sum(F.col("v") * F.col("m")) / F.sum("m")).alias("mean")).withColumn("k", F.lit(1))
+    place = F.floor(F.col("n") / 2)
+    return counted.withColumn("k", F.lit(1)).join(total, "k").filter((F.col("below") <= place) & (place < F.col("below") + F.col("m"))).select("n", "mean", F.col("v").alias("upper_median"))
+
+
+def surface_features(df: DataFrame, names: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """``features``: the columns and the products of pairs of them, as one vector column."""
+    from pyspark.ml.feature import VectorAssembler
+
+    made = df.withColumns({f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in pairs})
+    inputs = [*names, *(f"{a}_x_{b}" for a, b in pairs)]
+    return VectorAssembler(inputCols=inputs, outputCol="features").transform(made.withColumns({c: F.col(c).cast("double") for c in inputs}))
+
+
+def fit_surface(df: DataFrame, names: list[str], pairs: list[tuple[str, str]], label: str, ridge: float = 0.1):
+    """Ridge logistic surface: ``ridge`` counts against the sum of losses, so it is divided by the rows for a mean of losses."""
+    from pyspark.ml.classification import LogisticRegression
+
+    rows = surface_features(df.withColumn("label_d", F.col(label).cast("double")), names, pairs)
+    n = max(1, rows.count())
+    return LogisticRegression(featuresCol="features", labelCol="label_d", regParam=ridge / n, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-10).fit(rows)
+
+
+def boundary_score(probability: Column) -> Column:
+    return 4 * probability * (1 - probability)
+
+
+def paired_bootstrap(left: DataFrame, right: DataFrame, key: str, depth: str, hit: str, replicates: int = 200, seed: int = 20260811) -> DataFrame:
+    """``replicate, left_d50, right_d50, delta``: both arms drawn again together, on the ids they share.
+
+    A drawn id brings both arms' outcomes, so what is drawn inside a depth is a multinomial over the four outcomes.
+    """
+    both = left.select(key, F.col(depth).cast("double").alias("depth"), F.col(hit).alias("a")).join(right.select(key, F.col(hit).alias("b")), key)
+    counts = both.groupBy("depth").agg(*(F.count_if((F.col("a") == x) & (F.col("b") == y)).alias(f"c{int(x)}{int(y)}") for x in (True, False) for y in (True, False)))
+    copies = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("depth")
+        number = int(pdf["replicate"].iloc[0])
+        rng = np.random.default_rng([seed, number])
+        cells = pdf[["c11", "c10", "c01", "c00"]].to_numpy(np.int64)
+        drawn = np.array([rng.multinomial(c.sum(), c / c.sum()) for c in cells])
+        d, n = pdf["depth"].to_numpy(float), drawn.sum(1).astype(float)
+        a, b = (frontier(d, k.astype(float), n)["d50"] for k in (drawn[:, 0] + drawn[:, 1], drawn[:, 0] + drawn[:, 2]))
+        return pd.DataFrame({"replicate": [number], "left_d50": [a], "right_d50": [b], "delta": [None if a is None or b is None else b - a]}).astype({c: "float64" for c in ("left_d50", "right_d50", "delta")})
+
+    return copies.groupBy("replicate").applyInPandas(run, "replicate int, left_d50 double, right_d50 double, delta double")
+
+
+def transfer(df: DataFrame, fitted: Column, tested: Column, id_: str, vector: str, positive: Column) -> DataFrame:
+    """AUROC on the tested rows along the class direction of the fitted rows."""
+    direction = mean_direction(df.filter(fitted), vector, positive).withColumn("k", F.lit(1))
+    scored = df.filter(tested).withColumn("k", F.lit(1)).join(direction, "k").withColumn("score", F.round(N.dot(F.col(vector), F.col("direction")), 12))
+    return auroc(scored, F.col("score"), positive)

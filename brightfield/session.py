@@ -56,7 +56,7 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which all executors see; a temporary folder only where a local session sets none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='brightfield-')}"
         spark.conf.set("spark.checkpoint.dir", found)
