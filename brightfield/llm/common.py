@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: ASCII white space of the word rule, as a regular expression and as the characters themselves.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -16,9 +18,10 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one is set only where it is unset (local tests)."""
+    ship_package(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="brightfield-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -33,15 +36,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Remove the files of a cut that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for top in {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/cut-" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words_of(text: Column) -> Column:
     """Array of the runs of ``[^\\x20\\x09-\\x0D]``; null and blank texts have none."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -50,6 +44,7 @@ def words_of(text: Column) -> Column:
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Bound what a Python worker holds at once: batches of few rows and bytes, however long the texts are."""
+    ship_package(spark)
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         spark.conf.set(key, value)
 
@@ -159,19 +154,24 @@ def near_filter(rows: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 2
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for the ends of ``links`` (longs ``a, b``): root is the smallest node that links reach.
 
-    Each round a node takes the smallest label among its neighbours' and its own, then that label's own label; labels
-    fall until a round changes none. Every round is written, so a lost executor repeats one round at most.
+    Each round hooks every node to its smallest neighbour (and that one's hook), merges hooked nodes into one, and keeps
+    the links between what is left; they shrink until none is left. The smallest node of a component always stays, so
+    it is the root. Every round is written, so a lost executor repeats one round at most.
     """
-    both = cut(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v").distinct(), "links")
-    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("root")).withColumnRenamed("u", "node"), "labels")
+    edge = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    edges = cut(links.filter("a <> b").select(*edge("a", "b")).distinct(), "links")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
-        moved = labels.join(near, F.col("node") == F.col("u")).select("node", "root", F.least("root", "r").alias("new"))
-        jump = labels.select(F.col("node").alias("j"), F.col("root").alias("jr"))
-        after = cut(moved.join(jump, F.col("new") == F.col("j"), "left").select("node", "root", F.least("new", F.coalesce("jr", "new")).alias("new")), "labels")
-        changed = after.filter("new < root").limit(1).count()
-        labels = after.select("node", F.col("new").alias("root"))
-        if not changed:
+        ends = edges.union(edges.select("b", "a")).toDF("node", "other")
+        hooks = cut(ends.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("hook")), "hooks")
+        hooks = cut(hooks.join(hooks.toDF("hook", "next"), "hook").select("node", F.col("next").alias("hook")), "hooks")
+        if labels is None:
+            labels = hooks.toDF("node", "root")
+        else:
+            labels = cut(labels.join(hooks.toDF("root", "hook"), "root", "left").select("node", F.coalesce("hook", "root").alias("root")), "labels")
+        merged = edges.join(hooks.toDF("a", "ha"), "a").join(hooks.toDF("b", "hb"), "b").filter("ha <> hb")
+        edges = cut(merged.select(*edge("ha", "hb")).distinct(), "links")
+        if not edges.limit(1).count():
             return labels
 
 

@@ -214,6 +214,7 @@ def _dense(percent: int, width: int = 4096):
     """Links of one block pair of a dense column, from the product of its rows; of the links, those of a spanning forest."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep")  # in this order the same links come back from every column
         sets = [np.asarray(x, np.int64) for x in pdf["s"]]
         rep, n = pdf["rep"].to_numpy(np.int64), np.array([len(x) for x in sets])
         values = np.concatenate(sets)

@@ -273,3 +273,25 @@ def test_jaccard_many_near_copies(spark, options):
     sets = {i: shingles(t) for i, t in rows}
     got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), **options))
     assert {i: r.component_id for i, r in got.items()} == links(sets)
+
+
+def test_components(spark):
+    import random
+
+    from brightfield.llm.common import components
+
+    rng = random.Random(4)
+    for edges in ([], [(1, 1)], [(i, i + 1) for i in range(40)], [(40 - i, 39 - i) for i in range(40)], [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]):
+        parent = {x: x for e in edges if e[0] != e[1] for x in e}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            if a != b:
+                p, q = find(a), find(b)
+                parent[max(p, q)] = min(p, q)
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {x: find(x) for x in parent}
