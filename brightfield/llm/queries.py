@@ -90,6 +90,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_derivatives": r"""
+        WITH r AS (
+          SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS nl FROM pages),
+        b AS (
+          SELECT *, octet_length(encode(html)) AS n, 'HTTP/1.1 200 OK' || nl || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || octet_length(encode(html)) || nl || nl || html AS message,
+            sha256('response' || chr(31) || coalesce(page_id::VARCHAR, '') || chr(31) || url || chr(31) || sha256(html)) AS h FROM r),
+        s AS (
+          SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+              '(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'),
+              '(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS bare FROM b),
+        t AS (
+          SELECT *, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(bare, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+            ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS text FROM s),
+        d AS (
+          SELECT page_id, url, html, message, h, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+            'source-status: HTTP/1.1 200 OK' || nl || 'source-header: Content-Type: text/html; charset=utf-8' || nl || 'source-header: Content-Length: ' || n || nl || 'source-bytes: ' || n || nl
+              || 'text-chars: ' || length(text) || nl || 'text-lines: ' || CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) END || nl AS block FROM t
+          UNION ALL SELECT page_id, url, html, message, h, 'conversion', 'text/plain; charset=utf-8', text FROM t),
+        u AS (
+          SELECT *, 'sha256:' || sha256(block) AS block_digest, '<urn:uuid:' || h[1:8] || '-' || h[9:12] || '-8' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32] || '>' AS refers_to FROM d),
+        v AS (SELECT *, sha256(warc_type || chr(31) || refers_to || chr(31) || block_digest) AS i FROM u)
+        SELECT page_id, '<urn:uuid:' || i[1:8] || '-' || i[9:12] || '-8' || i[14:16] || '-a' || i[18:20] || '-' || i[21:32] || '>' AS record_id, warc_type, url AS target_uri, '1970-01-01T00:00:00Z' AS date,
+          refers_to, content_type, 'sha256:' || sha256(html) AS source_payload_digest, 'sha256:' || sha256(message) AS source_block_digest, block, block_digest FROM v""",
+    "op6_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT doc_id, p, sha256(substr(x, 2 * p + 1, 200)) AS g FROM (SELECT doc_id, x, unnest(range(length(x) // 2 - 99)) AS p FROM d WHERE length(x) >= 200)),
+        f AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS r FROM w) WHERE r > 1),
+        i AS (SELECT doc_id, p, sum(b) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, (coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p), 101) > 100)::INT AS b FROM f)),
+        s AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS e FROM i GROUP BY doc_id, k),
+        k AS (
+          SELECT s.doc_id, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substr(x, 2 * last + 1)) AS kept
+          FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, max(e) OVER (PARTITION BY doc_id) AS last FROM s) s JOIN d USING (doc_id) GROUP BY s.doc_id)
+        SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+    "op9_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        g AS (
+          SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)
+          UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 4),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM x JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id WHERE 100 * x >= 75 * (p.n + q.n - x)),
+        reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, l.b FROM reach JOIN l ON reach.r = l.a)
+        SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
