@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -154,8 +156,6 @@ def grounded_fold(df: DataFrame, target_cap: int = 16, context_cap: int = 2, lim
 
 
 def hash_of(s: str) -> int:
-    import hashlib
-
     return int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "big")
 
 
