@@ -176,7 +176,6 @@ class Forest:
         self.row = np.repeat(np.arange(len(counts)), counts)
         self.col = np.fromiter((i for t in trees for f in t.features for i in f), np.int64, sum(counts))
         self.label = np.array([y for t in trees for y in t.label])
-        depth = np.zeros(len(self.parent), np.int64)
         level = np.flatnonzero(self.parent < 0)
         children = np.argsort(self.parent, kind="stable")
         sorted_parents = self.parent[children]
@@ -185,7 +184,6 @@ class Forest:
             self.levels.append(level)
             lo, hi = np.searchsorted(sorted_parents, level), np.searchsorted(sorted_parents, level, side="right")
             level = children[np.repeat(hi - np.cumsum(hi - lo), hi - lo) + np.arange((hi - lo).sum())] if (hi - lo).sum() else level[:0]
-        del depth
 
     def marginals(self, weights: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Content marginal of each node by sum-product, and the expected 2 x 2 counts of parent and child labels."""

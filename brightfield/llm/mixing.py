@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, words_of
-
-_NULL = "\U0010ffff"  # no text sorts after it: null sources come last
+from .common import cut, mix64, words_of
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
@@ -34,8 +32,6 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap
 
 def _chance(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
     """Uniform numbers in [0, 1) that depend on the pair and the seed alone."""
-    from .common import mix64
-
     x = mix64(a.astype(np.int64).view(np.uint64) ^ mix64(b.astype(np.int64).view(np.uint64) + np.uint64(seed)))
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
