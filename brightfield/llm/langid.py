@@ -51,7 +51,7 @@ def word_features(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarr
             inside &= text > 0
         rows.append(mix64(gram[inside] + np.uint64(n << 40)) & mask)
         owners.append(owner[: len(gram)][inside])
-    return np.concatenate(rows).astype(np.int64), np.concatenate(owners)
+    return np.concatenate(rows).astype(np.int32), np.concatenate(owners).astype(np.int32)
 
 
 def emissions(model: Model, words: Words, which: np.ndarray) -> np.ndarray:
@@ -89,7 +89,7 @@ class Chains:
         """Forward-backward: marginals in sequence order, and (if asked for) expected transition counts."""
         k = potentials.shape[1]
         e = np.empty_like(potentials)
-        e[self.slot] = np.exp(potentials - potentials.max(1, keepdims=True)) + 1e-30
+        e[self.slot] = np.exp(potentials - potentials.max(1, keepdims=True)) + np.float32(1e-30)
         t = np.exp(transitions)
         alpha, expected = np.empty_like(e), np.zeros((k, k))
         now = None
@@ -98,20 +98,20 @@ class Chains:
             now = here if now is None else (now[:n] @ t) * here
             now = now / now.sum(1, keepdims=True)
             alpha[self.offset[i] : self.offset[i] + n] = now
-        beta = np.ones((0, k))
+        beta = np.ones((0, k), e.dtype)
         for i in range(len(self.active) - 1, -1, -1):
             n, a = self.active[i], self.offset[i]
             if i + 1 < len(self.active):
                 m = self.active[i + 1]
                 ahead = e[self.offset[i + 1] : self.offset[i + 1] + m] * beta[:m]
-                back = np.ones((n, k))
+                back = np.ones((n, k), e.dtype)
                 back[:m] = ahead @ t.T
                 if pairs:
                     left = alpha[a : a + m]
                     expected += (left / (left * back[:m]).sum(1, keepdims=True)).T @ ahead * t
                 beta = back / back.sum(1, keepdims=True)
             else:
-                beta = np.ones((n, k))
+                beta = np.ones((n, k), e.dtype)
             e_slot = alpha[a : a + n] * beta
             alpha[a : a + n] = e_slot / e_slot.sum(1, keepdims=True)
         return alpha[self.slot], expected
@@ -145,7 +145,7 @@ def train(texts: list[str], langs: list[str], window: int = 64, rounds: int = 40
     n = len(y)
     for step in range(1, rounds + 1):
         score = np.stack([np.bincount(owner, model.weights[rows, k], len(unique)) for k in range(len(names))], 1) * scale[:, None] + lex
-        p, pairs = chains.marginals(score[inverse], model.transitions, True)
+        p, pairs = chains.marginals(score.astype(np.float32)[inverse], model.transitions.astype(np.float32), True)
         miss = seen - np.stack([np.bincount(inverse, p[:, k], len(unique)) for k in range(len(names))], 1)
         up = np.stack([np.bincount(rows, (miss[:, k] * scale)[owner], 1 << BITS) for k in range(len(names))], 1) / n
         for param, grad, m, v in ((model.weights, up, state[0], state[1]), (model.transitions, (seen_pairs - pairs) / n, state[2], state[3])):
@@ -160,7 +160,7 @@ def word_marginals(model: Model, texts: list[str]) -> tuple[Words, np.ndarray]:
     """The words of the texts, and the marginals of each."""
     words = Words([t.lower().encode() for t in texts])
     _, index, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-    p, _ = Chains(np.diff(words.first)).marginals(emissions(model, words, index)[inverse], model.transitions)
+    p, _ = Chains(np.diff(words.first)).marginals(emissions(model, words, index).astype(np.float32)[inverse], model.transitions.astype(np.float32))
     return words, p
 
 
@@ -177,24 +177,30 @@ def predict(model: Model, texts: list[str], most: int = 2_000_000) -> tuple[list
     best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
     for part in _batches(texts, most):
         words, p = word_marginals(model, [texts[i] for i in part])
-        total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, 0)])
+        total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, 0, np.float64)])
         count = np.maximum(np.diff(words.first), 1)[:, None]
         mean = (total[words.first[1:]] - total[words.first[:-1]]) / count
         best[part], score[part] = mean.argmax(1), mean.max(1)
     return [model.langs[i] for i in best], np.clip(score, 0, 1)
 
 
-def fit(docs: DataFrame, max_docs: int = 1500) -> Model:
+def fit(docs: DataFrame, max_docs: int = 1500, max_words: int = 1_500_000) -> Model:
     """Model from rows with a language whose ``crc32(doc_id) mod 5`` is not 0.
 
-    At most about ``max_docs`` of them are read, by a hash of the id; that bounds what reaches the driver.
+    About ``max_docs`` of them are read, in order of a hash of the id, and learned from up to ``max_words`` words in all;
+    that bounds what reaches the driver.
     """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     n = usable.count()
     if n > max_docs:
         usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(max_docs / n * (1 << 40)))
     rows = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "lang").collect()
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    upto = np.cumsum([r[0].count(" ") + 1 for r in rows])
+    rows = [r for r, n in zip(rows, upto, strict=True) if n <= max_words or n == upto[0]]
+    model = train([r[0] for r in rows], [r[1] for r in rows])
+    del rows
+    release_memory()
+    return model
 
 
 def held_out():
@@ -219,7 +225,7 @@ def language_id(docs: DataFrame, model: Model | None = None, max_docs: int = 150
                 texts = pdf["text"].to_numpy(object)
                 lang[some], score[some] = predict(model, [texts[i] for i in some])
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": lang, "score": score})
-            release_memory()
+        release_memory()
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"),
