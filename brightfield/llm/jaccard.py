@@ -129,7 +129,7 @@ def prefix_entries(docs: DataFrame, heavy: np.ndarray, counts: np.ndarray, perce
                 if grams:
                     lengths = [len(x) for x in grams]
                     yield pd.DataFrame({"g": np.concatenate(grams).view(np.int64), "key": np.repeat(np.array(keys, np.int64), lengths), "n": np.repeat(np.array(ns, np.int32), lengths), "pos": np.concatenate([np.arange(x, dtype=np.int32) for x in lengths]), "hot": np.concatenate(hots)})
-            release_memory()
+        release_memory()
 
     return _texts(docs).mapInPandas(run, "g long, key long, n int, pos int, hot boolean")
 

@@ -244,7 +244,7 @@ def _anchors(length: int):
                 later[first] = False
                 marks = pd.arrays.IntegerArray(anchor.view(np.int64), later)
                 yield pd.DataFrame({"anchor": marks, "whole": whole.view(np.int64), "doc": np.array(ids, np.int64)[number], "start": start, "count": count})
-            release_memory()
+        release_memory()
 
     return run
 
