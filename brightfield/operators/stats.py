@@ -57,12 +57,19 @@ def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def ngram_l2(df: DataFrame, text: str, side: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``n, l2``: distance of the word n-gram distributions of two sides (``side`` true or false)."""
+    most = max(sizes)
     words = df.select(side.alias("side"), X.split_words(X.normalise(F.col(text))).alias("w")).filter("side IS NOT NULL")
-    grams = words.select("side", F.explode(F.array(*(F.struct(F.lit(n).alias("n"), X.ngrams(F.col("w"), n).alias("g")) for n in sizes))).alias("x"))
-    counts = grams.select("side", "x.n", F.explode("x.g").alias("g")).groupBy("n", "g").agg(F.count_if("side").alias("a"), F.count_if(~F.col("side")).alias("b"))
-    totals = counts.groupBy("n").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    p, q = (F.coalesce(F.col(c) / F.nullif(F.col(f"t{c}"), F.lit(0)), F.lit(0.0)) for c in ("a", "b"))
-    return counts.join(F.broadcast(totals), "n").groupBy("n").agg(F.sqrt(F.sum((p - q) * (p - q))).alias("l2"))  # totals: a row for each size
+    # a row for each place with the words from there on; n-grams are then joined in generated code, not inside array functions
+    ahead = F.arrays_zip(*(F.slice("w", k + 1, F.greatest(F.size("w"), F.lit(1))).alias(f"w{k}") for k in range(most)))
+    places = words.select("side", ahead.alias("z")).select("side", F.inline("z").alias(*(f"w{k}" for k in range(most))))
+    gram = lambda n: F.when(F.col(f"w{n - 1}").isNotNull(), F.concat_ws(" ", *(f"w{k}" for k in range(n))))
+    grams = places.select("side", F.inline(F.array(*(F.struct(F.lit(n).alias("n"), gram(n).alias("g")) for n in sizes)))).filter("g IS NOT NULL")
+    counts = grams.groupBy("n", "g").agg(F.count_if("side").alias("a"), F.count_if(~F.col("side")).alias("b"))
+    # the sum of squares of a / ta - b / tb from sums of products: no second pass for the totals
+    total = lambda x: F.sum(x.cast("double"))
+    sums = counts.groupBy("n").agg(*(total(F.col(x) * F.col(y)).alias(f"{x}{y}") for x, y in ("aa", "ab", "bb")), total(F.col("a")).alias("ta"), total(F.col("b")).alias("tb"))
+    part = lambda x, y, z: F.coalesce(F.col(x) / F.nullif(F.col(y) * F.col(z), F.lit(0.0)), F.lit(0.0))
+    return sums.select("n", F.sqrt(F.greatest(F.lit(0.0), part("aa", "ta", "ta") - 2 * part("ab", "ta", "tb") + part("bb", "tb", "tb"))).alias("l2"))
 
 
 def _blocks(df: DataFrame, id_: str, vector: str, rows: int) -> DataFrame:
