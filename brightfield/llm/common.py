@@ -28,11 +28,14 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation."""
+def cut(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation.
+
+    ``few``: narrow rows of many tasks are gathered into files of the advisory size first, instead of a small file a task.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/cut-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -138,7 +138,7 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, keys_per_buc
     """
     if in_snapshot is None:
         in_snapshot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(2)) == 0
-    table = cut(digests(docs).withColumn("old", F.coalesce(in_snapshot, F.lit(False))), "digests")
+    table = cut(digests(docs).withColumn("old", F.coalesce(in_snapshot, F.lit(False))), "digests", few=True)
     sides = table.groupBy("sha", "old").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
     sides = cut(sides, "groups")
     old, new = sides.filter("old"), sides.filter("not old")

@@ -278,7 +278,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, most:
     ignored.
     """
     small_batches(docs.sparkSession)
-    rows = cut(signatures(docs, size), "signatures")
+    rows = cut(signatures(docs, size), "signatures", few=True)
     top = rows.filter("n = -1").groupBy("key").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "key").limit(heavy_kept).toPandas()
     top = top.assign(u=top["key"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
     heavy, counts = top["u"].to_numpy(np.uint64), top["c"].to_numpy(np.int64)
@@ -287,7 +287,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, most:
 
     entries = prefix_entries(docs.filter("doc_id IS NOT NULL"), heavy, counts, percent, size, hot_from)
     dealt = entries.repartition("g", F.when(F.col("hot"), F.pmod("key", F.lit(64))).otherwise(0)).sortWithinPartitions("g", "n", "key")
-    found = cut(dealt.mapInPandas(_product(percent, most), "a long, b long, na int, nb int, g long"), "product")
+    found = cut(dealt.mapInPandas(_product(percent, most), "a long, b long, na int, nb int, g long"), "product", few=True)
     columns = cut(found.filter("g IS NOT NULL").select("g", F.col("a").alias("key"), F.col("na").alias("n"), F.col("nb").alias("pos")).distinct(), "columns")
 
     # short columns: counts of pairs; prefix n-grams in long columns are not in the counts and may all be common

@@ -125,7 +125,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
     Null text has size 0 (never taken); a null source is a source of its own, last in order; repeated rows are rounded
     each; an empty table gives no rows. Columns other than ``doc_id, text, source`` are ignored.
     """
-    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size")), "sizes")
+    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words_of(F.col("text"))).cast("long").alias("size")), "sizes", few=True)
     sources = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     goals = cut(source_targets(sources, weights, cap), "targets").withColumnRenamed("source", "s")
     leaves = F.ceil(F.col("n") / per_leaf)
@@ -143,7 +143,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: floa
         copies = whole + ((mass * 2 > size) & (size > 0) & ~is_open)
         return pdf.assign(copies=copies.astype(np.int64), open=is_open, mass=mass)[[x.split()[0] for x in schema.split(", ")]]
 
-    done = cut(rows.groupBy("source", "leaf").applyInPandas(leaf, schema), "leaves")
+    done = cut(rows.groupBy("source", "leaf").applyInPandas(leaf, schema), "leaves", few=True)
     # reduction tree over the open units: a leaf number loses a factor fan_in on each level
     level = done.filter("open").select("doc_id", "source", "leaf", "size", "mass")
     widest = goals.agg(F.max(leaves)).first()[0] or 1

@@ -177,5 +177,5 @@ def best_fit_packing(docs: DataFrame, cap: int = 2048, vocabulary: str | None =
     length are packed in order of doc_id, piece. An empty table gives no rows. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    packed = pack(cut(tokenised_pieces(docs, cap, vocabulary=vocabulary), "pieces"), cap)
+    packed = pack(cut(tokenised_pieces(docs, cap, vocabulary=vocabulary), "pieces", few=True), cap)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

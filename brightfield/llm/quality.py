@@ -87,7 +87,7 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = 50, ma
     an empty table gives an empty result; other columns of ``docs`` are ignored, whatever their names.
     The counts are written once (without texts) and then read both for the host rates and for the result.
     """
-    counts = cut(document_counts(docs, min_words, max_repeat_percent, host), "quality")
+    counts = cut(document_counts(docs, min_words, max_repeat_percent, host), "quality", few=True)
     hosts = host_verdicts(counts, max_rate).select(F.col("host").alias("h"), "host_rejected", *(f"rate_{k}" for k in HOST_RULES))
     joined = counts.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_rejected"), F.lit(False)))

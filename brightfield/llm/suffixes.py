@@ -364,7 +364,7 @@ def repeated_windows(docs: DataFrame, length: int = 100, shard_bytes: int = 2_00
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     rows = texts.mapInPandas(_anchors(length), _ROWS)
     spread = F.when(F.col("anchor").isNull(), F.col("doc")).otherwise(F.col("anchor"))
-    lists = cut(rows.repartition(spread).sortWithinPartitions("anchor", "whole", "doc", "start").mapInPandas(_classes, _ROWS), "lists")
+    lists = cut(rows.repartition(spread).sortWithinPartitions("anchor", "whole", "doc", "start").mapInPandas(_classes, _ROWS), "lists", few=True)
     settled = lists.filter("anchor IS NULL").select("doc", "start", "count")
     need = lists.filter("anchor IS NOT NULL").select("anchor", "doc", "start", "count")
     by_doc = need.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("pieces"))
@@ -373,7 +373,7 @@ def repeated_windows(docs: DataFrame, length: int = 100, shard_bytes: int = 2_00
     hot = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_pieces).select("anchor")
     usual = pieces.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
     found = usual.mapInPandas(_shards(length, shard_bytes), "doc long, start long, count long")
-    runs = settled.union(cut(found, "runs"))
+    runs = settled.union(cut(found, "runs", few=True))
     if hot.limit(1).count():  # an anchor of more pieces than a task should hold: its windows meet by their digests
         windows = cut(pieces.join(hot, "anchor", "left_semi").mapInPandas(_windows(length), "digest binary, doc long, start long"), "windows")
         first = windows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
