@@ -279,7 +279,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, most:
     """
     small_batches(docs.sparkSession)
     rows = cut(signatures(docs, size), "signatures", few=True)
-    top = rows.filter("n = -1").groupBy("key").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "key").limit(heavy_kept).toPandas()
+    top = rows.filter("n = -1").groupBy("key").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "key").limit(heavy_kept)
+    top = cut(top, "heavy").toPandas()  # written first: else each task's best rows would go to the driver
     top = top.assign(u=top["key"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
     heavy, counts = top["u"].to_numpy(np.uint64), top["c"].to_numpy(np.int64)
     sig = rows.filter("n >= 0")
