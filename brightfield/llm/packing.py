@@ -23,7 +23,8 @@ def encoder(vocabulary: str | None = None):
     """Encoder with the ids of a byte-level BPE file (by default ``byte_bpe_50k.json`` of the public tokenizer files).
 
     The file's vocabulary gives the ranks; its merges are in rank order, so merging the lowest rank first yields the
-    same ids as the file's own library. Strings of special tokens are ordinary text.
+    same ids as the file's own library. A text is split at the file's added tokens, which get their own ids
+    (``encode(text, allowed_special="all")``).
     """
     import tiktoken
 
@@ -37,9 +38,12 @@ def encoder(vocabulary: str | None = None):
         # printable stand-ins of bytes: the printable ones stand for themselves, the others for 256 and up, in order
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         stands = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in own)}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that look at their surroundings are not supported")
+        special = {t["content"]: t["id"] for t in added}
         ranks = {bytes(stands[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
-        _encoders[vocabulary] = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[vocabulary] = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _encoders[vocabulary]
 
 
@@ -54,7 +58,7 @@ def tokenised_pieces(docs: DataFrame, cap: int = 2048, end_id: int = 0, vocabula
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.array([*(enc.encode_ordinary(text) if text else ()), end_id], "<u4")
+                ids = np.array([*(enc.encode(text, allowed_special="all") if text else ()), end_id], "<u4")
                 first = len(ids) % cap or cap
                 at = 0
                 for k, stop in enumerate(range(min(first, len(ids)), len(ids) + 1, cap)):

@@ -165,6 +165,19 @@ def test_packing(docs, texts):
     assert len(bins) <= math.ceil(total / cap) + 1
 
 
+def test_packing_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"x{end}y", end, f"{end}{end}", f"one  {end}  two\n\n{end}\n", f"<|{end}|>", "<|endoftext |>", f" {end}é日本 \t{end[:-1]}", "plain text", (f"word {end} " * 300)]
+    rows = packing.tokenised_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 256, with_ids=True).orderBy("doc_id", "piece").collect()
+    assert t.encode(texts[0], add_special_tokens=False).ids == [87, 50256, 88]
+    for i, text in enumerate(texts):
+        assert [x for r in rows if r.doc_id == i for x in r.ids] == [*t.encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_packing_levels(spark, docs, empty, odd):
     pieces = packing.tokenised_pieces(docs, 128).cache()
     one = packing.pack(pieces, 128)
