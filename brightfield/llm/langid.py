@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, release_memory, small_batches
+from .common import SPACE_RUN, Words, cut, mix64, release_memory, small_batches
 
 BITS = 17  # features are hashed to 2**BITS rows of weights
 LENGTHS = (1, 2, 3, 4)
@@ -184,19 +184,42 @@ def predict(model: Model, texts: list[str], most: int = 2_000_000) -> tuple[list
     return [model.langs[i] for i in best], np.clip(score, 0, 1)
 
 
+def _level(sizes: np.ndarray, total: int) -> int:
+    """Largest whole number, at least 1, such that the sizes cut to it sum to at most ``total``; the largest size if all fit."""
+    low, high = 1, max(int(sizes.max(initial=1)), 1)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if int(np.minimum(sizes, middle).sum()) <= total:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def fit(docs: DataFrame, max_docs: int = 1500, max_words: int = 1_500_000) -> Model:
     """Model from rows with a language whose ``crc32(doc_id) mod 5`` is not 0.
 
-    About ``max_docs`` of them are read, in order of a hash of the id, and learned from up to ``max_words`` words in all;
-    that bounds what reaches the driver.
+    Where there are over ``max_docs`` of them, every language has the same quota (a rarer one gives all its rows, any
+    language one at least) and about that many are drawn by a hash of id and text. Where the drawn texts have over
+    ``max_words`` words in all, the longest are learned from up to a common number of first words; no text is left out.
+    That bounds what reaches the driver.
     """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    n = usable.count()
-    if n > max_docs:
-        usable = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(max_docs / n * (1 << 40)))
-    rows = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "lang").collect()
-    upto = np.cumsum([r[0].count(" ") + 1 for r in rows])
-    rows = [r for r, n in zip(rows, upto, strict=True) if n <= max_words or n == upto[0]]
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    found = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).collect()
+    sizes = np.array([r.n for r in found], np.int64)
+    if sizes.sum() > max_docs:
+        quota = _level(sizes, max_docs)
+        upto = [(r.lang, max(quota * (1 << 40) // r.n, r.first + 1)) for r in found]
+        limits = docs.sparkSession.createDataFrame(upto, "lang string, upto long")
+        usable = usable.join(F.broadcast(limits), "lang").filter(place < F.col("upto")).drop("upto")
+    flat = F.trim(F.regexp_replace("text", SPACE_RUN, " "))  # only words count
+    gaps = F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit("")))
+    drawn = usable.select("lang", "doc_id", F.xxhash64("doc_id", "text").alias("place"), flat.alias("flat"))
+    drawn = cut(drawn.withColumn("words", F.when(F.col("flat") == "", 0).otherwise(gaps + 1)), "learned", few=True)
+    most = _level(np.array([r.words for r in drawn.select("words").collect()], np.int64), max_words)
+    text = F.when(F.col("words") > most, F.substring_index("flat", " ", most)).otherwise(F.col("flat"))
+    rows = drawn.orderBy("place", "doc_id", "flat", "lang").select(text.alias("text"), "lang").collect()
     model = train([r[0] for r in rows], [r[1] for r in rows])
     del rows
     release_memory()

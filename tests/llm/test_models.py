@@ -56,6 +56,28 @@ def test_language_rows(docs, texts, odd, empty):
     assert {r.lang_pred for r in langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_long_and_rare_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, sample("xx", rng, 30), "xx") for i in range(200)] + [(1000 + i, sample("yy", rng, 30), "yy") for i in range(5)]
+    # long texts: many of one language, then all of the rare one
+    for long_ids in ([r[0] for r in rows[:60]], [r[0] for r in rows[-5:]]):
+        table = [(i, " \n".join([t] * 40) if i in long_ids else t, x) for i, t, x in rows]
+        model = langid.fit(spark.createDataFrame(table, "doc_id long, text string, lang string"), max_words=1000)
+        assert model.langs == ["xx", "yy"]
+        got, _ = langid.predict(model, [sample(x, rng, 30) for x in ("xx", "yy") * 10])
+        assert got == ["xx", "yy"] * 10
+    # a language of few rows among many is learned
+    rows = [(i, sample("xx", rng, 12), "xx") for i in range(1500)] + [(5000 + i, sample("yy", rng, 12), "yy") for i in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=60)
+    assert model.langs == ["xx", "yy"]
+    assert langid.predict(model, [sample(x, rng, 30) for x in ("xx", "yy") * 10])[0] == ["xx", "yy"] * 10
+
+
+def test_language_level():
+    assert langid._level(np.array([5, 1, 9]), 100) == 9 and langid._level(np.array([5, 1, 9]), 11) == 5
+    assert langid._level(np.array([4, 4]), 1) == 1 and langid._level(np.zeros(0, np.int64), 7) == 1
+
+
 def test_sum_product_is_exact():
     trees = [html_tree.parse("<div><p>One two.</p><ul><li>a<li>b</ul></div>"), html_tree.parse("x")]
     forest = html_tree.Forest(trees)
