@@ -45,11 +45,16 @@ BAD_TAGS = frozenset("nav aside footer header form menu button label fieldset di
 _NAMES = [*(f"tag:{t}" for t in TAGS), "tag:other", *(f"name:{k}" for k in NAMES), *(f"above:{k}" for k in NAMES), "above:bad_tag", "above:main_tag",
           "above:list", "above:table", "linked", "all_linked", "short", "long", "very_long", "sentence", "copyright", "bias"]
 FEATURES = {n: i for i, n in enumerate(_NAMES)}
+#: Those whose content is no markup: unclosed, they run to the end of the page. An unclosed one of the others is a tag like any.
+RAW = frozenset("script style textarea title".split())
+#: Those that a slash closes at once.
+FOREIGN = frozenset("svg math".split())
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<skip>{SKIPPED})\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</(?P=skip)\s*>|\Z)"""
+    rf"""<!--.*?(?:-->|\Z)|<(?P<skip>{SKIPPED})(?=[\s/>])(?:"[^"]*"|'[^']*'|[^'">])*>"""
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""",
     re.S | re.I,
 )
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED.split("|")}
 _ATTR = re.compile(r"""\b(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -103,10 +108,20 @@ def parse(page: str) -> Tree:
         linked = total = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()  # skipped elements that no later tag closes
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
+        if skip := (m.group("skip") or "").lower():
+            if not (skip in FOREIGN and page[at - 2] == "/"):
+                stop = None if skip in unclosed else _CLOSING[skip].search(page, at)
+                if stop:
+                    at = stop.end()
+                else:
+                    unclosed.add(skip)
+                    at = len(page) if skip in RAW else at
+            continue
         tag = m.group("tag")
         if not tag:
             continue

@@ -120,6 +120,19 @@ def test_page_text(spark):
     assert ((p >= 0.5) == (forest.label > 0))[is_text].mean() > 0.98
 
 
+def test_skipped_elements():
+    def text(page):
+        return [x for x in html_tree.parse(page).text if x]
+
+    both = ["one", "two"]
+    for inner in ("<video-js id=x></video-js>", "<audio-player>", "<title-bar></title-bar>", "<svg-icon/>", "<svg class='i'/>", "<math />", "<SVG/>", "<video src=x>", "<select>", "<object data='a>b'>", "<iframe/>"):
+        assert text(f"<p>one</p>{inner}<p>two</p>") == both, inner
+    for inner in ("<svg class='i'><text>no</text></svg>", "<script>var x = '<!--' </script >", "<video\nsrc=x>no</video>", "<select><option>no</select>", "<title>no <p> no</title>", "<svg/><svg>no</svg>"):
+        assert text(f"<p>one</p>{inner}<p>two</p>") == both, inner
+    for raw in ("script", "style", "textarea", "title"):
+        assert text(f"<p>one</p><{raw}>x<p>two</p>") == ["one"]
+
+
 def test_chat_round_trip(spark):
     texts = [r"\### Assistant: </turn> ok", "<turn>user\nx</turn>\n", r"<\turn> <\\/turn> <join/> <\join/>", "", None, "a\\nb\nc", "日本語"]
     rows = [(c, t, role, text, "x") for c in (1, 2) for t, (role, text) in enumerate(zip(["user", "assistant", "assistant", None, "a\\nb\nc", "<turn>", "assistant"], texts[c - 1 :] + texts[: c - 1]))]
