@@ -228,7 +228,10 @@ def _anchors(length: int):
                 if len(t) < length:
                     continue
                 key = hashlib.blake2b(t, digest_size=16).digest()
-                if met.get(key, doc) < doc:
+                first = met.get(key)
+                if first == doc:  # the same row again
+                    continue
+                if first is not None and first < doc:
                     copies.append((doc, len(t) - length + 1))
                     continue
                 if len(met) < 500_000:
@@ -239,11 +242,12 @@ def _anchors(length: int):
                 yield pd.DataFrame({"anchor": pd.array([None] * len(copies), "Int64"), "whole": 0, "doc": [c[0] for c in copies], "start": 0, "count": [c[1] for c in copies]})
             number, start, count, anchor, whole = anchored_pieces(texts, length)
             if len(number):
-                _, first = np.unique(whole, return_index=True)
-                later = np.ones(len(whole), bool)
-                later[first] = False
+                _, first, kind = np.unique(whole, return_index=True, return_inverse=True)
+                head, doc = first[kind], np.array(ids, np.int64)[number]
+                later = head != np.arange(len(whole))
                 marks = pd.arrays.IntegerArray(anchor.view(np.int64), later)
-                yield pd.DataFrame({"anchor": marks, "whole": whole.view(np.int64), "doc": np.array(ids, np.int64)[number], "start": start, "count": count})
+                found = pd.DataFrame({"anchor": marks, "whole": whole.view(np.int64), "doc": doc, "start": start, "count": count})
+                yield found[~(later & (doc == doc[head]) & (start == start[head]))]
         release_memory()
 
     return run
@@ -270,7 +274,10 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new_anchor = np.concatenate([[True], a[1:] != a[:-1]])
         new_kind = new_anchor | np.concatenate([[True], w[1:] != w[:-1]])
         if not new_kind.all():
-            yield out(df[~new_kind], True)
+            head = np.maximum.accumulate(np.where(new_kind, np.arange(len(df)), 0))
+            doc, start = df["doc"].to_numpy(), df["start"].to_numpy()
+            # a piece of a repeated row is the first one itself
+            yield out(df[~new_kind & ((doc != doc[head]) | (start != start[head]))], True)
         df, new_anchor = df[new_kind], new_anchor[new_kind]
         group = np.cumsum(new_anchor) - 1
         several = (np.bincount(group) > 1)[group]  # a carried kind and a new one are several

@@ -121,6 +121,23 @@ def test_suffix_odd_rows(odd, empty):
     assert all(r.n_bytes == len(r.kept) for r in rows if r.doc_id is None)
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+@pytest.mark.parametrize("options", [{}, {"hot_pieces": 1}])
+def test_suffix_repeated_rows(spark, parts, options):
+    rng = np.random.default_rng(4)
+    a, b = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(2))
+    twice = b[:200] + a[300:] + " - " + b
+    texts = [(5, a), (6, a), (7, b), (8, twice), (9, a + b)]
+    rows = [x for x in [*texts, *texts, texts[0]] for _ in range(2 if x[0] == 7 else 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = suffixes.remove_repeats(df, **options).collect()
+    want = removed(texts)
+    assert len(got) == len(rows)
+    for r in got:
+        assert bytes(r.kept) == want[r.doc_id][3]
+    assert want[5][3] == a.encode() and want[6][3] == b""
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for raw in (rng.integers(97, 99, 700, dtype=np.uint8), np.zeros(300, np.uint8), np.frombuffer(b"abracadabra" * 20, np.uint8), np.zeros(1, np.uint8)):
