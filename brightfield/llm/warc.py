@@ -8,17 +8,20 @@ of archives expect.
 from __future__ import annotations
 
 import gzip
+import html as entities
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 RECORD = (
     "record_id string, warc_type string, target_uri string, date string, refers_to string, content_type string, "
     "headers map<string,string>, block string, block_digest string, payload_digest string"
 )
-#: Character references that the plain-text conversion decodes.
+#: Character references that are decoded natively; texts with any other are decoded by the rules of HTML in Python.
 REFERENCES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 _BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 
@@ -34,17 +37,42 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text.cast("binary"), 256))
 
 
-def plain_text(html: Column) -> Column:
-    """All text of the page: comments, scripts and styles go, block tags end lines, references are decoded, white space is folded."""
+_OTHER = rf"&(?!(?:{'|'.join(x[1:-1] for x in REFERENCES)});)[#A-Za-z]"
+_WHITE = re.compile("[\\x09-\\x0D\\xA0]")
+
+
+def _decode(text: str) -> str:
+    """All character references decoded once; those of white space give a blank, as &nbsp; does."""
+    return re.sub(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)", lambda m: _WHITE.sub(" ", entities.unescape(m[0])), text)
+
+
+@F.pandas_udf(StringType())
+def _decoded(text: pd.Series) -> pd.Series:
+    return text.map(_decode, na_action="ignore")
+
+
+def _bare(html: Column) -> Column:
+    """The page without markup, its references as they are."""
     t = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     t = F.regexp_replace(t, r"[\x20\x09-\x0D]+", " ")
     t = F.regexp_replace(t, rf"(?i)</?(?:{_BLOCKS})\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
+    return F.regexp_replace(t, r"<[^>]*>", "")
+
+
+def _read(bare: Column) -> Column:
+    """References decoded, blanks around line ends gone. Only texts with a reference beyond ``REFERENCES`` go to Python."""
+    t = bare
     for name, char in REFERENCES.items():
         t = F.replace(t, F.lit(name), F.lit(char))
+    t = F.coalesce(_decoded(F.when(bare.rlike(_OTHER), bare)), t)
     return F.trim(F.regexp_replace(t, r" *\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def plain_text(html: Column) -> Column:
+    """All text of the page: comments, scripts and styles go, block tags end lines, references are decoded, white space is folded."""
+    return _read(_bare(html))
+
+
 def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Response records of a page table (``page_id, url, html``); null html is an empty payload, null url an empty target."""
     html, url = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("url"), F.lit(""))
@@ -77,7 +105,7 @@ def derivatives(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     head = F.when(F.locate("\r\n\r\n", block) > 0, F.substring_index(block, "\r\n\r\n", 1)).otherwise("")
     body = F.when(F.locate("\r\n\r\n", block) > 0, F.substring(block, F.locate("\r\n\r\n", block) + 4, F.length(block))).otherwise(block)
     source = records.filter(F.col("warc_type") == "response").select(*keep, "record_id", "target_uri", "date", "headers", "block_digest", "payload_digest", head.alias("head"), body.alias("body"))
-    source = source.withColumn("text", plain_text(F.col("body")))
+    source = source.withColumn("bare", _bare(F.col("body"))).withColumn("text", _read(F.col("bare"))).drop("bare")
     linked = F.map_concat(
         F.coalesce(F.map_filter("headers", lambda k, v: ~k.startswith("Source-")), F.create_map().cast("map<string,string>")),
         F.create_map(

@@ -176,3 +176,13 @@ def test_archive_records(spark, tmp_path):
 
 def test_queries_are_named():
     assert {q.split("_")[0] for q in queries.QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+
+
+def test_archive_text_references(spark):
+    import html as entities
+
+    pieces = ["&#8217;", "&#x27;", "&mdash;", "&eacute;", "&hellip;", "&amp;lt;", "&amp;#39;", "&notin;", "&copy 2020", "&unknown;", "R&D & co", "&#0;", "&lt;b&gt;", "&amp;amp;", "&quot;x&quot;&middot;", "&&amp;"]
+    pages = [(i, f"<p>a {x} b</p>") for i, x in enumerate(pieces)] + [(100, "<p>a&nbsp;b&#160;c&#xA0;d&#10;e &mdash;</p>"), (101, "<p>a&nbsp;&lt;&copy;</p>"), (102, None)]
+    rows = warc.derivatives(warc.responses(spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string")), keep=("page_id",)).filter("warc_type = 'conversion'").collect()
+    got = {r.page_id: r.block for r in rows}
+    assert got == {i: entities.unescape(f"a {x} b") for i, x in enumerate(pieces)} | {100: "a b c d e \u2014", 101: "a <\xa9", 102: ""}
