@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import pandas as pd
@@ -168,27 +169,53 @@ def size_matched(pool: DataFrame, reference: DataFrame, key: str, id_: str, size
     """For each key as many rows as the reference has, chosen one by one so that the running sums of sizes follow the reference's.
 
     Each choice takes the row that brings the first size nearest to its share of the reference's total, then the second;
-    ties fall by hash order. Keys are worked on apart.
+    ties fall by hash order (of the first row of equal sizes, then among those). Keys are worked on apart: a task holds
+    the different sizes of a key with their counts, not its rows. A null size counts as 0.
     """
-    wanted = reference.groupBy(key).agg(F.count(F.lit(1)).alias("wanted"), *(F.sum(c).alias(f"goal_{c}") for c in sizes))
-    rows = pool.withColumn("draw_key", sample_order(F.col(id_), seed)).join(wanted, key)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pool.schema)
-    columns = list(pool.columns)
+    own = [f"size_{i}" for i in range(len(sizes))]
+    sized = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(o) for c, o in zip(sizes, own, strict=True)]
+    wanted = reference.groupBy(F.col(key).alias("size_key")).agg(F.count(F.lit(1)).alias("wanted"), *(F.coalesce(F.sum(c).cast("double"), F.lit(0.0)).alias(f"goal_{o}") for c, o in zip(sizes, own, strict=True)))
+    rows = pool.select("*", F.col(key).alias("size_key"), *sized, sample_order(F.col(id_), seed).alias("draw_key"))
+    kinds = rows.groupBy("size_key", *own).agg(F.count(F.lit(1)).alias("n"), F.min("draw_key").alias("first")).join(wanted, "size_key")
+    names = ["size_key", *own, "take"]
+    schema = ", ".join([f"size_key {pool.schema[key].dataType.simpleString()}", *(f"{o} double" for o in own), "take long"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("draw_key").reset_index(drop=True)
-        n = min(int(pdf["wanted"].iloc[0]), len(pdf))
-        goals = [float(pdf[f"goal_{c}"].iloc[0]) for c in sizes]
-        left, sums, taken = list(pdf.index), [0.0] * len(sizes), []
-        values = [pdf[c].to_numpy(float) for c in sizes]
+        pdf = pdf.sort_values([own[0], "first"]).reset_index(drop=True)
+        goals = [float(pdf[f"goal_{o}"].iloc[0]) for o in own]
+        left, first, values = pdf["n"].tolist(), pdf["first"].tolist(), [pdf[o].tolist() for o in own]
+        n, sums, take = min(int(pdf["wanted"].iloc[0]), sum(left)), [0.0] * len(own), [0] * len(pdf)
+        steps = sorted(set(values[0]))  # the different first sizes, and the kinds of each that have rows left
+        members: dict[float, list[int]] = {}
+        for i, v in enumerate(values[0]):
+            members.setdefault(v, []).append(i)
+        above, below = list(range(len(steps) + 1)), list(range(len(steps) + 1))  # next step with rows: at or after i; at or before i, plus 1
+
+        def root(link: list[int], i: int) -> int:
+            while link[i] != i:
+                link[i] = link[link[i]]
+                i = link[i]
+            return i
+
         for k in range(1, n + 1):
-            best = min(left, key=lambda i: tuple(abs(s + v[i] - g * k / n) / max(1.0, g) for s, v, g in zip(sums, values, goals, strict=True)))
-            left.remove(best)
-            taken.append(best)
+            at = bisect.bisect_left(steps, goals[0] * k / n - sums[0])
+            near = {s for s in (root(above, at), root(below, at) - 1) if 0 <= s < len(steps)}
+            near_kinds = [i for s in near for i in members[steps[s]]]
+            best = min(near_kinds, key=lambda i: (tuple(abs(s + v[i] - g * k / n) / max(1.0, g) for s, v, g in zip(sums, values, goals, strict=True)), first[i]))
+            take[best] += 1
+            left[best] -= 1
             sums = [s + v[best] for s, v in zip(sums, values, strict=True)]
-        return pdf.loc[taken, columns]
-
-    return rows.groupBy(key).applyInPandas(run, schema)
+            if not left[best]:
+                v = values[0][best]
+                members[v].remove(best)
+                if not members[v]:
+                    gone = bisect.bisect_left(steps, v)
+                    above[gone], below[gone + 1] = gone + 1, gone
+        return pdf.assign(take=take)[pdf.assign(take=take)["take"] > 0][names]
+
+    taken = kinds.groupBy("size_key").applyInPandas(run, schema)
+    order = Window.partitionBy("size_key", *own).orderBy("draw_key", id_)
+    return rows.join(taken, ["size_key", *own]).withColumn("draw_no", F.row_number().over(order)).filter("draw_no <= take").select(*pool.columns)
 
 
 def closest_draw(pool: DataFrame, reference: DataFrame, key: str, id_: str, sizes: tuple[str, ...], attempts: int = 32) -> DataFrame:

@@ -154,14 +154,14 @@ def size_matched_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each language as many documents as labelled good ones, of like length in characters and words."""
     docs = Tables(spark, sf_dir).documents.select("doc_id", "lang", "n_chars", F.size(X.split_words(F.col("text"))).cast("long").alias("n_words"))
     good = docs.join(Tables(spark, sf_dir).labels.filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    reference = good.filter(F.pmod("doc_id", F.lit(7)) == 0)
-    return select.size_matched(docs.join(good, "doc_id", "left_anti"), reference, "lang", "doc_id", ("n_chars", "n_words"), 5)
+    return select.size_matched(docs.join(good.select("doc_id"), "doc_id", "left_anti"), good, "lang", "doc_id", ("n_chars", "n_words"), 5)
 
 
 @query()
 def closest_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of sixteen draws of as many documents a language as are labelled good, the one nearest to those in characters."""
     docs = Tables(spark, sf_dir).documents.select("doc_id", "lang", "n_chars")
-    reference = docs.filter(F.pmod("doc_id", F.lit(20)) == 0)
+    reference = docs.join(Tables(spark, sf_dir).labels.filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
     return select.closest_draw(docs, reference, "lang", "doc_id", ("n_chars",), 16)
 
 

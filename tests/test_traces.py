@@ -132,6 +132,38 @@ def test_matched_draws(spark):
     assert abs(best - 600) <= min(abs(x - 600) for x in all_)
 
 
+def test_size_matched_equals_one_by_one(spark):
+    rng = random.Random(12)
+    pool = [(i, "ab"[i % 2], rng.choice([7, 19, rng.randrange(1, 1000)]), rng.randrange(1, 9)) for i in range(300)]
+    reference = [(1000 + i, "ab"[i % 3 > 0], rng.randrange(1, 1000), rng.randrange(1, 9)) for i in range(100)]
+    schema = "id long, k string, x long, y long"
+    got = select.size_matched(spark.createDataFrame(pool, schema), spark.createDataFrame(reference, schema), "k", "id", ("x", "y"), 1).collect()
+    for k in "ab":
+        goal = [r[2:] for r in reference if r[1] == k]
+        goals, left, sums, n, want = [sum(x) for x in zip(*goal)], [r for r in pool if r[1] == k], [0, 0], len(goal), []
+        for j in range(1, n + 1):
+            best = min(left, key=lambda r: tuple(abs(s + v - g * j / n) / g for s, v, g in zip(sums, r[2:], goals)))
+            left.remove(best)
+            want.append(best[2:])
+            sums = [s + v for s, v in zip(sums, best[2:])]
+        assert sorted((r.x, r.y) for r in got if r.k == k) == sorted(want)
+    assert len({r.id for r in got}) == len(got)
+
+
+def test_matched_queries_take_all_good_documents(spark):
+    from brightfield.plans import registry
+
+    at = "/root/testdata/sf0.001"
+    labels, docs = (spark.read.parquet(f"{at}/{x}.parquet") for x in ("labels", "documents"))
+    good = docs.join(labels.filter("quality = 1"), "doc_id", "left_semi")
+    n = lambda df: {r["lang"]: r["count"] for r in df.groupBy("lang").count().collect()}
+    want, rest = n(good), n(docs.join(good, "doc_id", "left_anti"))
+    assert n(registry.QUERIES["closest_draw"](spark, at)) == want
+    picked = registry.QUERIES["size_matched_sample"](spark, at)
+    assert n(picked) == {k: min(v, rest[k]) for k, v in want.items() if k in rest}
+    assert picked.join(good, "doc_id").count() == 0
+
+
 def test_paths(spark):
     circle = [(0, i, [float(np.cos(i / 5)), float(np.sin(i / 5))]) for i in range(100)] + [(1, i, [float(i), 1.0 + i]) for i in range(20)]
     got = {r.grp: r for r in traces.path_features(spark.createDataFrame(circle, "g int, t int, v array<double>"), "g", "t", "v", lag=10, similar=0.99).collect()}
