@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,10 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of the cuts that are still there, in order of writing.
+_written: list[str] = []
+
+
 def cut(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation.
 
@@ -36,7 +41,40 @@ def cut(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/cut-{name}-{uuid.uuid4().hex}"
     (df.hint("rebalance") if few else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete cuts that nothing reads any more: all that was made from them has itself been written."""
+    for df in cuts:
+        _delete(df.sparkSession, df._cut_path)
+
+
+def cut_whole(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The written result of ``make()``, without the cuts that it made on the way."""
+    before = set(_written)
+    out = cut(make(), name)
+    for path in [x for x in _written if x not in before and x != out._cut_path]:
+        _delete(out.sparkSession, path)
+    return out
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """``name``, made longer until no column of the tables has it (upper and lower case are the same to Spark)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def words_of(text: Column) -> Column:
@@ -81,15 +119,23 @@ BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """``base ** 0 .. base ** (n - 1)`` modulo 2**64, by doubling."""
+#: A prime below 2**31 and a second base: modulo a power of two alone, texts of two letters in Thue-Morse order collide whatever the base.
+PRIME = (1 << 31) - 1
+BASE_P = 1_103_515_245
+BASE_P_INV = pow(BASE_P, -1, PRIME)
+
+
+def powers(base: int, n: int, modulus: int = 1 << 64) -> np.ndarray:
+    """``base ** 0 .. base ** (n - 1)`` modulo 2**64 or a number below 2**32, by doubling."""
     out = np.ones(max(n, 1), np.uint64)
     have, step = 1, base
     while have < n:
         take = min(have, n - have)
         out[have : have + take] = out[:take] * np.uint64(step)
+        if modulus < 1 << 64:
+            out[have : have + take] %= np.uint64(modulus)
         have += take
-        step = step * step % (1 << 64)
+        step = step * step % modulus
     return out[:n]
 
 
@@ -119,18 +165,33 @@ class Words:
         return len(self.start)
 
 
-def segment_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each ``raw[start:end]``, the same wherever the segment stands."""
+def segment_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """64-bit hash of each ``raw[start:end]``, the same wherever the segment stands; starts and ends ascend.
+
+    Two polynomials, one modulo 2**64 and one modulo a prime, are mixed into one number. Segments over two blocks long
+    are hashed piece by piece.
+    """
     out = np.empty(len(start), np.uint64)
-    block = 1 << 20
     lo = 0
-    while lo < len(start):  # blocks keep the temporaries in cache
-        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + block)))
+    while lo < len(start):  # blocks keep the temporaries in cache and the sums below 2**64
+        hi = min(int(np.searchsorted(start, start[lo] + block)), int(np.searchsorted(end, start[lo] + 2 * block, side="right")))
+        if hi <= lo:
+            cuts = np.arange(start[lo], end[lo], block)
+            total = np.zeros(1, np.uint64)
+            for h in segment_hash(raw, cuts, np.append(cuts[1:], end[lo]), block):
+                total = mix64(total * np.uint64(BASE) + h)
+            out[lo] = total[0]
+            lo += 1
+            continue
         a, b = int(start[lo]), int(end[hi - 1])
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * powers(BASE, b - a), out=total[1:])
         s, e = start[lo:hi] - a, end[lo:hi] - a
-        out[lo:hi] = mix64((total[e] - total[s]) * powers(BASE_INV, b - a + 1)[s] + (e - s).astype(np.uint64))
+        text = raw[a:b].astype(np.uint64) + np.uint64(1)
+        total = np.zeros(b - a + 1, np.uint64)
+        np.cumsum(text * powers(BASE, b - a), out=total[1:])
+        first = mix64((total[e] - total[s]) * powers(BASE_INV, b - a + 1)[s] + (e - s).astype(np.uint64))
+        np.cumsum(text * powers(BASE_P, b - a, PRIME), out=total[1:])
+        second = (total[e] - total[s]) % np.uint64(PRIME) * powers(BASE_P_INV, b - a + 1, PRIME)[s] % np.uint64(PRIME)
+        out[lo:hi] = mix64(first + second * np.uint64(BASE))
         lo = hi
     return out
 
@@ -142,16 +203,15 @@ def near_filter(rows: DataFrame, column: str, ids: DataFrame, bits: int = 1 << 2
     The ids' hashes set bits of one table of ``bits`` bits, at most ``bits / 64`` rows of two longs however many ids
     there are; that table is broadcast. It spares a join from shuffling rows that cannot match.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    one = ids.columns[0]
-    table = ids.select(place(F.col(one)).alias("p")).select(F.shiftright("p", 6).alias("near_word"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b"))
-    table = table.groupBy("near_word").agg(F.bit_or("b").alias("near_bits"))
-    marked = rows.withColumn("near_place", place(F.col(column))).withColumn("near_word", F.shiftright("near_place", 6))
-    hit = F.expr("(near_bits & shiftleft(1L, CAST(near_place & 63 AS INT))) <> 0")
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    word, flags, place = (free_name(x, rows) for x in ("near_word", "near_bits", "near_place"))
+    table = ids.select(bit(F.col(ids.columns[0])).alias("p")).select(F.shiftright("p", 6).alias(word), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("b"))
+    table = table.groupBy(word).agg(F.bit_or("b").alias(flags))
+    marked = rows.withColumn(place, bit(F.col(column))).withColumn(word, F.shiftright(place, 6))
+    hit = F.expr(f"({flags} & shiftleft(1L, CAST({place} & 63 AS INT))) <> 0")
     if others:
         hit = ~F.coalesce(hit & F.col(column).isNotNull(), F.lit(False))
-    hit = marked.join(F.broadcast(table), "near_word", "left" if others else "inner").filter(hit)
-    return hit.drop("near_word", "near_bits", "near_place")
+    return marked.join(F.broadcast(table), word, "left" if others else "inner").filter(hit).drop(word, flags, place)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -166,22 +226,24 @@ def components(links: DataFrame) -> DataFrame:
     labels = None
     while True:
         ends = edges.union(edges.select("b", "a")).toDF("node", "other")
-        hooks = cut(ends.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("hook")), "hooks")
-        hooks = cut(hooks.join(hooks.toDF("hook", "next"), "hook").select("node", F.col("next").alias("hook")), "hooks")
+        first = cut(ends.groupBy("node").agg(F.min("other").alias("o")).select("node", F.least("node", "o").alias("hook")), "hooks")
+        hooks = cut(first.join(first.toDF("hook", "next"), "hook").select("node", F.col("next").alias("hook")), "hooks")
+        merged = edges.join(hooks.toDF("a", "ha"), "a").join(hooks.toDF("b", "hb"), "b").filter("ha <> hb")
+        left = cut(merged.select(*edge("ha", "hb")).distinct(), "links")
+        discard(edges, first)
+        edges = left
         if labels is None:
-            labels = hooks.toDF("node", "root")
+            labels = hooks
         else:
-            labels = cut(labels.join(hooks.toDF("root", "hook"), "root", "left").select("node", F.coalesce("hook", "root").alias("root")), "labels")
-        merged = edges.join(hooks.toDF("a", "ha"), "a").join(hooks.toDF("b", "hb"), "b").filter("ha <> hb")
-        edges = cut(merged.select(*edge("ha", "hb")).distinct(), "links")
+            new = cut(labels.toDF("node", "root").join(hooks.toDF("root", "hook"), "root", "left").select("node", F.coalesce("hook", "root").alias("root")), "labels")
+            discard(labels, hooks)
+            labels = new
         if not edges.limit(1).count():
-            return labels
+            return labels.toDF("node", "root")
 
 
 def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """``rows`` whose ``column`` is not in ``ids`` (one column of distinct longs). Only rows near ``ids`` are shuffled."""
-    one = ids.columns[0]
-    near = near_filter(rows, column, ids)
-    gone = ids.select(F.col(one).alias("gone_id"))
-    kept = near.join(gone, near[column] == F.col("gone_id"), "left_anti")
+    near, gone = near_filter(rows, column, ids), free_name("gone_id", rows)
+    kept = near.join(ids.toDF(gone), near[column] == F.col(gone), "left_anti")
     return near_filter(rows, column, ids, others=True).unionByName(kept)

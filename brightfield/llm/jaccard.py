@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, mix64, near_filter, release_memory, small_batches
+from .common import Words, components, cut, cut_whole, mix64, near_filter, release_memory, small_batches
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 2_000_000  # characters whose n-grams are hashed at a time
@@ -54,8 +54,13 @@ def _class_key(s: np.ndarray) -> int:
     return int(mix64(np.array([mix64(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def _second_key(s: np.ndarray) -> int:
+    """Another 64-bit name, from the hashes as they are: a set is known by both."""
+    return int(mix64(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+
+
 def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id, n, key`` of each document, and rows ``n = -1, key, count`` of n-grams
+    """``doc_id, n, key, second`` of each document, and rows ``n = -1, key, count`` of n-grams
     that stand in several different sets among about five million n-grams of one task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,12 +73,12 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
             counts = np.diff(np.append(first, len(values)))
             values, counts = values[first[counts > 1]], counts[counts > 1]
-            return pd.DataFrame({"doc_id": pd.array([None] * len(values), "Int64"), "n": -1, "key": values.view(np.int64), "count": counts})
+            return pd.DataFrame({"doc_id": pd.array([None] * len(values), "Int64"), "n": -1, "key": values.view(np.int64), "second": 0, "count": counts})
 
         for pdf in batches:
             for part, sets in _each(pdf, size):
                 keys = [_class_key(s) if len(s) else 0 for s in sets]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "key": keys, "count": 0})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "key": keys, "second": [_second_key(s) if len(s) else 0 for s in sets], "count": 0})
                 for s, k in zip(sets, keys, strict=True):
                     if k not in met:
                         met.add(k)
@@ -89,7 +94,7 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
         fresh.clear()
         release_memory()
 
-    return _texts(docs).mapInPandas(run, "doc_id long, n long, key long, count long")
+    return _texts(docs).mapInPandas(run, "doc_id long, n long, key long, second long, count long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -250,23 +255,28 @@ def _dense(percent: int, width: int = 4096):
 
 def sets_of(keys: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """``key, rep, s``: the set of each class in ``keys`` (read again from its first document) as an array of longs."""
-    wanted = cut(classes.join(keys, "key", "left_semi").select("key", "rep"), "wanted")
+    wanted = cut(classes.join(keys, "key", "left_semi").select("key", "second", "rep"), "wanted")
     texts = near_filter(_texts(docs).filter("doc_id IS NOT NULL"), "doc_id", wanted.select("rep")).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part, sets in _each(pdf, size):
-                fits = [i for i, (s, k) in enumerate(zip(sets, part["key"], strict=True)) if len(s) and _class_key(s) == k]  # not other rows of the same id
-                yield pd.DataFrame({"key": part["key"].to_numpy()[fits], "rep": part["doc_id"].to_numpy()[fits], "s": [sets[i].view(np.int64) for i in fits]})
+                names = zip(sets, part["key"], part["second"], strict=True)
+                fits = [i for i, (s, k, x) in enumerate(names) if len(s) and _class_key(s) == k and _second_key(s) == x]  # not other rows of the same id
+                if fits:
+                    yield pd.DataFrame({**{c: part[c].to_numpy()[fits] for c in ("key", "second")}, "rep": part["doc_id"].to_numpy()[fits], "s": [sets[i].view(np.int64) for i in fits]})
 
-    return cut(texts.select("key", "doc_id", "text").mapInPandas(run, "key long, rep long, s array<long>").dropDuplicates(["key"]), "sets")
+    found = texts.select("key", "second", "doc_id", "text").mapInPandas(run, "key long, second long, rep long, s array<long>")
+    return cut(found.dropDuplicates(["key", "second"]).drop("second"), "sets")
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, most: int = 64, heavy_kept: int = 100_000, hot_from: int = 20_000, block: int = 1024) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document.
 
     Two documents link when ``100 * intersection >= percent * union`` of their n-gram sets; ``component_id`` is the
-    smallest doc_id that links reach. Equal sets are one class from the start, so copies cost nothing further.
+    smallest doc_id that links reach. Equal sets are one class from the start, so copies cost nothing further; a class is
+    known by 128 bits over its n-grams. Candidates are looked for by the first 64 of them, and every candidate pair has
+    its sets intersected, so that two classes which share those 64 bits by chance are still told apart.
 
     Columns of the incidence of up to ``most`` classes give all their pairs (of fitting sizes) with counts. Longer
     columns are worked on in pairs of blocks of about ``block`` rows: sizes and places discard most pairs there, and
@@ -274,18 +284,36 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, most:
     spanning forest of its links, not all of them, which connects the same documents.
 
     A text without words (or null) has size 0 and its own id; a row without doc_id keeps its size and has no component;
-    rows that share an id are one document, with any of their links; an empty table gives no rows. Other columns are
-    ignored.
+    rows that share an id are one document with the links of all their texts, and get one component; an empty table gives
+    no rows. Very long texts are hashed whole, a slice of texts at a time. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     rows = cut(signatures(docs, size), "signatures", few=True)
     top = rows.filter("n = -1").groupBy("key").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "key").limit(heavy_kept)
-    top = cut(top, "heavy").toPandas()  # written first: else each task's best rows would go to the driver
+    kept = cut(top, "heavy")  # written first: else each task's best rows would go to the driver
+    top = kept.toPandas()
     top = top.assign(u=top["key"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
     heavy, counts = top["u"].to_numpy(np.uint64), top["c"].to_numpy(np.int64)
-    sig = rows.filter("n >= 0")
-    classes = cut(sig.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
-
+    sig = rows.filter("n >= 0").select("doc_id", "n", "key", "second")
+    classes = cut(sig.filter("n > 0 AND doc_id IS NOT NULL").groupBy("key", "second").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    links = cut_whole(lambda: _links(docs, classes, heavy, counts, percent, size, most, hot_from, block), "links")
+    # the texts of one id belong together
+    named = sig.filter("doc_id IS NOT NULL")
+    name = F.struct("key", "second")
+    several = cut(named.groupBy("doc_id").agg(F.min(name).alias("low"), F.max(name).alias("high")).filter("low <> high").select("doc_id"), "several", few=True)
+    if several.limit(1).count():
+        own = near_filter(named.filter("n > 0"), "doc_id", several).join(several, "doc_id", "left_semi")
+        links = links.union(own.join(classes, ["key", "second"]).select("doc_id", "rep").distinct())
+    labels = components(links)
+
+    of_class = classes.select("key", "second", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", "second", F.coalesce("root", "rep").alias("root"))
+    some = sig.filter("n > 0").join(of_class, ["key", "second"], "left").select("doc_id", "n", "root")
+    none = sig.filter("n = 0").join(labels, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
+    return some.union(none).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("component_id"))
+
+
+def _links(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, counts: np.ndarray, percent: int, size: int, most: int, hot_from: int, block: int) -> DataFrame:
+    """``a, b``: links between the first documents of classes, enough of them to connect all that are connected."""
     entries = prefix_entries(docs.filter("doc_id IS NOT NULL"), heavy, counts, percent, size, hot_from)
     dealt = entries.repartition("g", F.when(F.col("hot"), F.pmod("key", F.lit(64))).otherwise(0)).sortWithinPartitions("g", "n", "key")
     found = cut(dealt.mapInPandas(_product(percent, most), "a long, b long, na int, nb int, g long"), "product", few=True)
@@ -311,11 +339,6 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, most:
     sets = sets_of(keys, classes, docs, size)
     joined = pairs.join(sets.toDF("a", "ra", "sa"), "a").join(sets.toDF("b", "rb", "sb"), "b")
     joined = joined.select("ra", "rb", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("x"))
-    links = joined.filter(100 * F.col("x") >= percent * (F.col("n") - F.col("x"))).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    exact = joined.filter(100 * F.col("x") >= percent * (F.col("n") - F.col("x"))).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     product = dense.join(sets, "key").groupBy("g", "i", "j").applyInPandas(_dense(percent), "a long, b long")
-    labels = components(cut(links.union(product), "links"))
-
-    of_class = classes.select("key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("root"))
-    out = sig.join(of_class, "key", "left")
-    component = F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    return exact.union(product)
