@@ -3,7 +3,8 @@
 Which shard a 100-byte window goes to depends on its bytes alone: on the smallest hash among its 32-byte strings (its
 anchor). So equal windows always meet, and an anchor that occurs once needs no suffix array at all. Windows that share
 an anchor occurrence are neighbours and travel as one piece of text; equal pieces are settled by their hash, and the
-first of each kind of piece enters its shard's suffix array.
+first of each kind of piece enters its shard's suffix array. An anchor of very many kinds is dealt over several shards;
+their different windows are sorted over the cluster, and a binary search finds those that several shards hold.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, cut, mix64, near_filter, release_memory, segment_hash, small_batches
+from .common import BASE, cut, cut_whole, mix64, near_filter, release_memory, segment_hash, small_batches
 
 GRAM = 32
 BLOCK = 1 << 20  # bytes whose anchors are found at a time: places must fit in 20 bits
@@ -151,34 +152,11 @@ def common_prefixes(raw: np.ndarray, sa: np.ndarray, cap: int, lane: int = 32) -
     return lcp
 
 
-class Merger:
-    """Distinct windows of the earlier shards of one anchor, sorted; a later shard's are found among them by binary search."""
+def shard_repeats(pieces: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that start earlier in the shard as well: piece number, first window, number of windows; and the
+    places, as piece number and window, of the first of each kind of window.
 
-    def __init__(self, length: int):
-        self.length, self.known = length, np.zeros(0, f"S{length + 1}")
-
-    def windows(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        text = np.ones((len(starts), self.length + 1), np.uint8)  # the last byte keeps zeros at the end
-        text[:, :-1] = raw[starts[:, None] + np.arange(self.length)]
-        return text.view(f"S{self.length + 1}").ravel()
-
-    def found(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Whether each window (distinct, in order) is in an earlier shard; those that are not join the known ones."""
-        mine = self.windows(raw, starts)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, mine), len(self.known) - 1)
-            hit = self.known[at] == mine
-        else:
-            hit = np.zeros(len(mine), bool)
-        self.known = np.sort(np.concatenate([self.known, mine[~hit]]))
-        return hit
-
-
-def shard_repeats(pieces: list[bytes], counts: np.ndarray, carried: np.ndarray, merger: Merger | None, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that start earlier as well: piece number, first window, number of windows.
-
-    Pieces of one anchor stand in order of their place in the corpus. ``carried`` marks pieces whose anchor goes over
-    shard borders; their windows are looked up in ``merger`` too.
+    Pieces of one anchor stand in order of their place in the corpus.
     """
     raw = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces])
@@ -197,57 +175,51 @@ def shard_repeats(pieces: list[bytes], counts: np.ndarray, carried: np.ndarray,
     lead = np.concatenate([[True], group[1:] != group[:-1]]) if len(group) else np.zeros(0, bool)
     again = np.zeros(len(raw), bool)
     again[place[~lead]] = True
-    if merger is not None and carried.any():
-        mine = np.repeat(carried, sizes)
-        firsts = place[lead]
-        firsts = firsts[mine[firsts]]
-        old = firsts[merger.found(raw, firsts)] if len(firsts) else firsts
-        again[old] = True
     piece = np.repeat(np.arange(len(pieces)), sizes)
+    firsts = place[lead]
     hit = np.flatnonzero(again)
-    if not len(hit):
-        return (np.zeros(0, np.int64),) * 3
-    first = np.concatenate([[True], (np.diff(hit) != 1) | (piece[hit[1:]] != piece[hit[:-1]])])
+    first = np.concatenate([[True], (np.diff(hit) != 1) | (piece[hit[1:]] != piece[hit[:-1]])]) if len(hit) else np.zeros(0, bool)
     at = hit[first]
-    return piece[at], at - begin[piece[at]], np.diff(np.append(np.flatnonzero(first), len(hit)))
+    return piece[at], at - begin[piece[at]], np.diff(np.append(np.flatnonzero(first), len(hit))), piece[firsts], firsts - begin[piece[firsts]]
 
 
-_ROWS = "anchor long, whole long, doc long, start long, count long"
+_ROWS = "anchor long, whole long, doc long, kin long, start long, count long"
+_NAMES = [x.split()[0] for x in _ROWS.split(", ")]
 
 
 def _anchors(length: int):
     """Pieces of each document; a piece that its task has seen earlier in the corpus comes without an anchor: it is a repeat."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        met: dict[bytes, int] = {}
+        met: dict[bytes, tuple[int, int]] = {}
         for pdf in batches:
-            pdf = pdf.sort_values("doc_id", kind="stable")
+            pdf = pdf.sort_values(["doc_id", "kin"], kind="stable")
             texts, ids, copies = [], [], []
-            for doc, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+            for doc, kin, text in zip(pdf["doc_id"].tolist(), pdf["kin"].tolist(), pdf["text"], strict=True):
                 t = (text or "").encode()
                 if len(t) < length:
                     continue
                 key = hashlib.blake2b(t, digest_size=16).digest()
                 first = met.get(key)
-                if first == doc:  # the same row again
+                if first == (doc, kin):  # the same row again
                     continue
-                if first is not None and first < doc:
-                    copies.append((doc, len(t) - length + 1))
+                if first is not None and first < (doc, kin):
+                    copies.append((None, 0, doc, kin, 0, len(t) - length + 1))
                     continue
                 if len(met) < 500_000:
-                    met[key] = doc
+                    met[key] = (doc, kin)
                 texts.append(t)
-                ids.append(doc)
+                ids.append((doc, kin))
             if copies:
-                yield pd.DataFrame({"anchor": pd.array([None] * len(copies), "Int64"), "whole": 0, "doc": [c[0] for c in copies], "start": 0, "count": [c[1] for c in copies]})
+                yield pd.DataFrame(copies, columns=_NAMES).astype({"anchor": "Int64"})
             number, start, count, anchor, whole = anchored_pieces(texts, length)
             if len(number):
                 _, first, kind = np.unique(whole, return_index=True, return_inverse=True)
-                head, doc = first[kind], np.array(ids, np.int64)[number]
+                head, (doc, kin) = first[kind], np.array(ids, np.int64)[number].T
                 later = head != np.arange(len(whole))
                 marks = pd.arrays.IntegerArray(anchor.view(np.int64), later)
-                found = pd.DataFrame({"anchor": marks, "whole": whole.view(np.int64), "doc": doc, "start": start, "count": count})
-                yield found[~(later & (doc == doc[head]) & (start == start[head]))]
+                found = pd.DataFrame({"anchor": marks, "whole": whole.view(np.int64), "doc": doc, "kin": kin, "start": start, "count": count})
+                yield found[~(later & (doc == doc[head]) & (kin == kin[head]) & (start == start[head]))]
         release_memory()
 
     return run
@@ -255,11 +227,11 @@ def _anchors(length: int):
 
 def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Over rows in order of anchor, piece, place: repeats (no anchor) and, of anchors with several kinds of piece, the first of each kind."""
-    empty = pd.DataFrame({"anchor": np.zeros(0, np.int64), "whole": np.zeros(0, np.int64), "doc": np.zeros(0, np.int64), "start": np.zeros(0, np.int64), "count": np.zeros(0, np.int64), "given": np.zeros(0, bool)})
+    empty = pd.DataFrame({x: np.zeros(0, np.int64) for x in _NAMES}).assign(given=np.zeros(0, bool))
     held = empty
 
     def out(df: pd.DataFrame, repeat: bool) -> pd.DataFrame:
-        df = df[["anchor", "whole", "doc", "start", "count"]]
+        df = df[_NAMES]
         return df.assign(anchor=pd.array([None] * len(df), "Int64")) if repeat else df.assign(anchor=df["anchor"].astype("Int64"))
 
     for pdf in batches:
@@ -275,9 +247,9 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new_kind = new_anchor | np.concatenate([[True], w[1:] != w[:-1]])
         if not new_kind.all():
             head = np.maximum.accumulate(np.where(new_kind, np.arange(len(df)), 0))
-            doc, start = df["doc"].to_numpy(), df["start"].to_numpy()
+            place = df[["doc", "kin", "start"]].to_numpy()
             # a piece of a repeated row is the first one itself
-            yield out(df[~new_kind & ((doc != doc[head]) | (start != start[head]))], True)
+            yield out(df[~new_kind & (place != place[head]).any(1)], True)
         df, new_anchor = df[new_kind], new_anchor[new_kind]
         group = np.cumsum(new_anchor) - 1
         several = (np.bincount(group) > 1)[group]  # a carried kind and a new one are several
@@ -296,96 +268,117 @@ def _cut_pieces(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text, pieces in zip(pdf["doc"], pdf["text"], pdf["pieces"], strict=True):
+            for doc, kin, text, pieces in zip(pdf["doc"], pdf["kin"], pdf["text"], pdf["pieces"], strict=True):
                 t = text.encode()
-                rows += [(p["anchor"], doc, p["start"], p["count"], t[p["start"] : p["start"] + p["count"] + length - 1]) for p in pieces]
-            yield pd.DataFrame(rows, columns=["anchor", "doc", "start", "count", "piece"])
+                rows += [(p["anchor"], doc, kin, p["start"], p["count"], t[p["start"] : p["start"] + p["count"] + length - 1]) for p in pieces]
+            yield pd.DataFrame(rows, columns=["anchor", "doc", "kin", "start", "count", "piece"])
 
     return run
 
 
+_FOUND = "anchor long, window binary, doc long, kin long, start long, count long"
+
+
 def _shards(length: int, shard_bytes: int):
-    """Over pieces in order of anchor and place: runs of repeated windows, shard by shard."""
+    """Over pieces in order of anchor, deal and place: runs of repeated windows, shard by shard; of anchors dealt over several
+    shards (deal > 0) also the first of each kind of window, with its bytes. A shard holds whole anchors or deals of one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
-        merger, merged = None, None
-
-        def work(df: pd.DataFrame, goes_on: int | None) -> pd.DataFrame:
-            nonlocal merger, merged
-            anchors = df["anchor"].to_numpy()
-            carried = np.zeros(len(df), bool)
-            if merged is not None and anchors[0] == merged:
-                carried |= anchors == merged
-            if goes_on is not None and goes_on != merged:
-                merger, merged = Merger(length), goes_on
-            if goes_on is not None:
-                carried |= anchors == goes_on
-            piece, at, count = shard_repeats(df["piece"].tolist(), df["count"].to_numpy(np.int64), carried, merger, length)
-            return pd.DataFrame({"doc": df["doc"].to_numpy(np.int64)[piece], "start": df["start"].to_numpy(np.int64)[piece] + at, "count": count})
+
+        def work(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            if (df["deal"] > 0).any():  # several deals of an anchor in one shard: in order of place again
+                df = df.sort_values(["anchor", "doc", "kin", "start"], kind="stable")
+            pieces = df["piece"].tolist()
+            doc, kin, start, deal, anchor = (df[c].to_numpy(np.int64) for c in ("doc", "kin", "start", "deal", "anchor"))
+            piece, at, count, lead, lead_at = shard_repeats(pieces, df["count"].to_numpy(np.int64), length)
+            none = pd.array([None] * len(piece), "Int64")
+            yield pd.DataFrame({"anchor": none, "window": None, "doc": doc[piece], "kin": kin[piece], "start": start[piece] + at, "count": count})
+            some = deal[lead] > 0
+            lead, lead_at = lead[some], lead_at[some]
+            for lo in range(0, len(lead), 50_000):
+                k, w = lead[lo : lo + 50_000], lead_at[lo : lo + 50_000]
+                bytes_ = [pieces[i][j : j + length] for i, j in zip(k.tolist(), w.tolist(), strict=True)]
+                yield pd.DataFrame({"anchor": pd.array(anchor[k], "Int64"), "window": bytes_, "doc": doc[k], "kin": kin[k], "start": start[k] + w, "count": 1})
 
         for pdf in batches:
             lengths = np.cumsum([len(p) for p in pdf["piece"]])
             for part in np.split(np.arange(len(pdf)), np.flatnonzero(np.diff(lengths // shard_bytes)) + 1):
                 if not len(part):
                     continue
-                df = pdf.iloc[part]
-                if held and size >= shard_bytes:
-                    whole = pd.concat(held)
-                    anchors = whole["anchor"].to_numpy()
-                    # close the shard before its last anchor, unless that anchor alone fills it
-                    cut_at = int(np.searchsorted(anchors, anchors[-1]))
-                    if cut_at and anchors[-1] == df["anchor"].iloc[0]:
-                        yield work(whole.iloc[:cut_at], None)
-                        held = [whole.iloc[cut_at:]]
-                    else:
-                        yield work(whole, int(anchors[-1]) if anchors[-1] == df["anchor"].iloc[0] else None)
-                        held = []
-                    size = sum(int(x["piece"].str.len().sum()) for x in held)
-                held.append(df)
+                held.append(pdf.iloc[part])
                 size += int(lengths[part[-1]] - (lengths[part[0] - 1] if part[0] else 0))
+                if size >= shard_bytes:
+                    whole = pd.concat(held)
+                    names = whole[["anchor", "deal"]].to_numpy(np.int64)
+                    # close the shard before its last anchor, which may go on
+                    border = np.flatnonzero((names[1:] != names[:-1]).any(1))
+                    if len(border):
+                        yield from work(whole.iloc[: border[-1] + 1])
+                        whole = whole.iloc[border[-1] + 1 :]
+                    held, size = [whole], int(whole["piece"].str.len().sum())
         if held:
-            yield work(pd.concat(held), None)
+            yield from work(pd.concat(held))
         release_memory()
 
     return run
 
 
-def _windows(length: int):
-    """Windows of pieces, one row each, with a digest of their bytes."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, start, count, piece in zip(pdf["doc"], pdf["start"], pdf["count"], pdf["piece"], strict=True):
-                rows += [(hashlib.blake2b(piece[i : i + length], digest_size=16).digest(), doc, start + i) for i in range(count)]
-            yield pd.DataFrame(rows, columns=["digest", "doc", "start"])
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Over the shards' windows in order of anchor, bytes and place: those that are not the first of their kind."""
+    last: tuple[int, bytes] | None = None
+    for pdf in batches:
+        anchor = pdf["anchor"].to_numpy(np.int64)
+        text = np.array([w + b"\1" for w in pdf["window"]])  # the last byte keeps zeros at the end
+        again = np.zeros(len(pdf), bool)
+        edges = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(pdf)]])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            again[a:b] = np.searchsorted(text[a:b], text[a:b]) != np.arange(b - a)
+            if a == 0 and b and last is not None and last[0] == anchor[0]:
+                again[: np.searchsorted(text[:b], last[1], side="right")] = True
+        if len(pdf):
+            last = (int(anchor[-1]), text[-1])
+        yield pdf.loc[again, ["doc", "kin", "start", "count"]]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, kin, text``: ``kin`` tells the texts of one id apart (0 where an id has one row)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    several = cut(texts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id"), "several", few=True)
+    none = F.lit(0).cast("long").alias("kin")
+    if not several.limit(1).count():
+        return texts.select("doc_id", none, "text")
+    kin = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), 1, 16), 16, -10).cast("long").alias("kin")
+    return near_filter(texts, "doc_id", several).select("doc_id", kin, "text").unionByName(near_filter(texts, "doc_id", several, others=True).select("doc_id", none, "text"))
 
-    return run
 
+def repeated_windows(texts: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot_pieces: int = 10_000) -> DataFrame:
+    """``doc, kin, start, count``: runs of window starts whose ``length`` bytes also start earlier; ``texts`` have ``doc_id, kin, text``.
 
-def repeated_windows(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot_pieces: int = 200_000) -> DataFrame:
-    """``doc, start, count``: runs of window starts whose ``length`` bytes also start earlier in the corpus."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    A shard holds up to about ``shard_bytes``, or the pieces of one anchor; anchors of over ``hot_pieces`` kinds of piece
+    are dealt over shards of about that many.
+    """
+    small_batches(texts.sparkSession)
+    texts = texts.filter("doc_id IS NOT NULL")
     rows = texts.mapInPandas(_anchors(length), _ROWS)
     spread = F.when(F.col("anchor").isNull(), F.col("doc")).otherwise(F.col("anchor"))
-    lists = cut(rows.repartition(spread).sortWithinPartitions("anchor", "whole", "doc", "start").mapInPandas(_classes, _ROWS), "lists", few=True)
-    settled = lists.filter("anchor IS NULL").select("doc", "start", "count")
-    need = lists.filter("anchor IS NOT NULL").select("anchor", "doc", "start", "count")
-    by_doc = need.groupBy("doc").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("pieces"))
-    near = near_filter(texts, "doc_id", need.select("doc")).withColumnRenamed("doc_id", "doc").dropDuplicates(["doc"])
-    pieces = cut(near.join(by_doc, "doc").mapInPandas(_cut_pieces(length), "anchor long, doc long, start long, count long, piece binary"), "pieces")
-    hot = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_pieces).select("anchor")
-    usual = pieces.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "doc", "start")
-    found = usual.mapInPandas(_shards(length, shard_bytes), "doc long, start long, count long")
-    runs = settled.union(cut(found, "runs", few=True))
-    if hot.limit(1).count():  # an anchor of more pieces than a task should hold: its windows meet by their digests
-        windows = cut(pieces.join(hot, "anchor", "left_semi").mapInPandas(_windows(length), "digest binary, doc long, start long"), "windows")
-        first = windows.groupBy("digest").agg(F.min(F.struct("doc", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        later = windows.join(first, "digest").filter("struct(doc, start) > first")
-        runs = runs.union(later.select("doc", "start", F.lit(1).cast("long").alias("count")))
+    lists = cut(rows.repartition(spread).sortWithinPartitions("anchor", "whole", "doc", "kin", "start").mapInPandas(_classes, _ROWS), "lists", few=True)
+    settled = lists.filter("anchor IS NULL").select("doc", "kin", "start", "count")
+    need = lists.filter("anchor IS NOT NULL").select("anchor", "doc", "kin", "start", "count")
+    by_doc = need.groupBy("doc", "kin").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("pieces"))
+    near = near_filter(texts, "doc_id", need.select("doc")).withColumnRenamed("doc_id", "doc").dropDuplicates(["doc", "kin"])
+    pieces = cut(near.join(by_doc, ["doc", "kin"]).mapInPandas(_cut_pieces(length), "anchor long, doc long, kin long, start long, count long, piece binary"), "pieces")
+    hot = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_pieces)
+    deal = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "kin", "start"), F.ceil(F.col("n") / hot_pieces)) + 1)
+    dealt = pieces.join(hot, "anchor", "left").select("anchor", deal.cast("long").alias("deal"), "doc", "kin", "start", "count", "piece")
+    found = dealt.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal", "doc", "kin", "start").mapInPandas(_shards(length, shard_bytes), _FOUND)
+    found = cut(found, "runs", few=True)
+    runs = settled.union(found.filter("anchor IS NULL").select("doc", "kin", "start", "count"))
+    several = found.filter("anchor IS NOT NULL")
+    if several.limit(1).count():
+        merge = several.repartitionByRange("anchor", "window").sortWithinPartitions("anchor", "window", "doc", "kin", "start")
+        runs = runs.union(merge.mapInPandas(_merged, "doc long, kin long, start long, count long"))
     return runs
 
 
@@ -413,22 +406,23 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot_pieces: int = 200_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot_pieces: int = 10_000) -> DataFrame:
     """``doc_id, n_bytes, spans (array of start, end), kept`` of every document; ``kept`` are the bytes that stay.
 
     A byte goes if a ``length``-byte string that covers it also starts earlier: in a document with a smaller doc_id, or
     earlier in its own. Strings are compared in the input and never reach from one document into another.
 
     Null text is empty. A row without doc_id has no place in the order: it is returned whole and removes nothing from
-    others. Rows that share id and text are one document, reported each; of rows that share an id alone, one text is
-    taken for comparison. An empty table gives no rows; other columns are ignored.
+    others. Rows that share id and text are one document, reported each; rows that share an id alone are documents one
+    after the other, in order of a digest of their text. Texts of any length are worked on in blocks. An empty table
+    gives no rows; other columns are ignored.
     """
-    runs = cut(repeated_windows(docs, length, shard_bytes, hot_pieces), "repeats")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    by_doc = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("runs")).withColumnRenamed("doc", "doc_id")
+    texts = _texts(docs)
+    runs = cut_whole(lambda: repeated_windows(texts, length, shard_bytes, hot_pieces), "repeats")
+    by_doc = runs.groupBy("doc", "kin").agg(F.collect_list(F.struct("start", "count")).alias("runs")).withColumnRenamed("doc", "doc_id")
     none = F.array().cast("array<struct<start:long,end:long>>")
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
-    changed = near_filter(texts, "doc_id", runs.select("doc")).join(by_doc, "doc_id", "left").mapInPandas(_remove(length), schema)
+    changed = near_filter(texts, "doc_id", runs.select("doc")).join(by_doc, ["doc_id", "kin"], "left").mapInPandas(_remove(length), schema)
     text = F.coalesce("text", F.lit(""))
     same = near_filter(texts, "doc_id", runs.select("doc"), others=True)
     return changed.unionByName(same.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("spans"), text.cast("binary").alias("kept")))
