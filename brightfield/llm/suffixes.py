@@ -353,7 +353,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return near_filter(texts, "doc_id", several).select("doc_id", kin, "text").unionByName(near_filter(texts, "doc_id", several, others=True).select("doc_id", none, "text"))
 
 
-def repeated_windows(texts: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot_pieces: int = 10_000) -> DataFrame:
+def repeated_windows(texts: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot_pieces: int = 1_000) -> DataFrame:
     """``doc, kin, start, count``: runs of window starts whose ``length`` bytes also start earlier; ``texts`` have ``doc_id, kin, text``.
 
     A shard holds up to about ``shard_bytes``, or the pieces of one anchor; anchors of over ``hot_pieces`` kinds of piece
@@ -406,7 +406,7 @@ def _remove(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot_pieces: int = 10_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, shard_bytes: int = 2_000_000, hot_pieces: int = 1_000) -> DataFrame:
     """``doc_id, n_bytes, spans (array of start, end), kept`` of every document; ``kept`` are the bytes that stay.
 
     A byte goes if a ``length``-byte string that covers it also starts earlier: in a document with a smaller doc_id, or
