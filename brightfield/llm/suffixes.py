@@ -369,7 +369,8 @@ def repeated_windows(texts: DataFrame, length: int = 100, shard_bytes: int = 2_0
     by_doc = need.groupBy("doc", "kin").agg(F.collect_list(F.struct("anchor", "start", "count")).alias("pieces"))
     near = near_filter(texts, "doc_id", need.select("doc")).withColumnRenamed("doc_id", "doc").dropDuplicates(["doc", "kin"])
     pieces = cut(near.join(by_doc, ["doc", "kin"]).mapInPandas(_cut_pieces(length), "anchor long, doc long, kin long, start long, count long, piece binary"), "pieces")
-    hot = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_pieces)
+    # a table of its own: Spark knows its size, and broadcasts it only below its threshold
+    hot = cut(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_pieces), "hot", few=True)
     deal = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "kin", "start"), F.ceil(F.col("n") / hot_pieces)) + 1)
     dealt = pieces.join(hot, "anchor", "left").select("anchor", deal.cast("long").alias("deal"), "doc", "kin", "start", "count", "piece")
     found = dealt.repartition("anchor", "deal").sortWithinPartitions("anchor", "deal", "doc", "kin", "start").mapInPandas(_shards(length, shard_bytes), _FOUND)
