@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,9 +17,20 @@ from .common import cut, small_batches
 #: Pre-tokenizer pattern of the byte-level vocabulary: a fixed value of that vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Runs of white space this long take the file's own library: the pattern's look-ahead steps back over the whole run.
+_LONG_SPACE = re.compile(r"\s{100000}")
+
 _encoders: dict = {}
 
 
+def _vocabulary(path: str | None) -> str:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return path
+
+
 def encoder(vocabulary: str | None = None):
     """Encoder with the ids of a byte-level BPE file (by default ``byte_bpe_50k.json`` of the public tokenizer files).
 
@@ -28,10 +40,7 @@ def encoder(vocabulary: str | None = None):
     """
     import tiktoken
 
-    if vocabulary is None:
-        import public_tokenizers
-
-        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    vocabulary = _vocabulary(vocabulary)
     if vocabulary not in _encoders:
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
@@ -47,6 +56,15 @@ def encoder(vocabulary: str | None = None):
     return _encoders[vocabulary]
 
 
+def token_ids(text: str, vocabulary: str | None = None) -> list[int]:
+    """Ids of a whole text, those that the vocabulary file's own library gives without special tokens."""
+    if len(text) >= 100_000 and _LONG_SPACE.search(text):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(_vocabulary(vocabulary)).encode(text, add_special_tokens=False).ids
+    return encoder(vocabulary).encode(text, allowed_special="all")
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -54,11 +72,10 @@ def tokenised_pieces(docs: DataFrame, cap: int = 2048, end_id: int = 0, vocabula
     """Pieces of each document's ids (closed by ``end_id``): only documents over ``cap`` are cut, the first piece may be shorter."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(vocabulary)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = np.array([*(enc.encode(text, allowed_special="all") if text else ()), end_id], "<u4")
+                ids = np.array([*(token_ids(text, vocabulary) if text else ()), end_id], "<u4")
                 first = len(ids) % cap or cap
                 at = 0
                 for k, stop in enumerate(range(min(first, len(ids)), len(ids) + 1, cap)):
@@ -73,15 +90,15 @@ def tokenised_pieces(docs: DataFrame, cap: int = 2048, end_id: int = 0, vocabula
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
 
 
-def lower_bound(sizes: np.ndarray, cap: int) -> int:
-    """Bins that any packing needs, by dual feasible functions.
+def lower_bound(sizes: np.ndarray, cap: int, counts: np.ndarray | None = None) -> int:
+    """Bins that any packing of ``sizes`` (each as often as ``counts`` says) needs, by dual feasible functions.
 
     First family, for each threshold a: sizes over cap - a count as a whole bin, sizes under a as nothing. Second
     family, for k = 1, 2, ..: x becomes floor((k + 1) x / cap) / k, or stays where (k + 1) x / cap is whole.
     """
     if not len(sizes):
         return 0
-    n = np.bincount(sizes, minlength=cap + 1).astype(np.int64)[: cap + 1]
+    n = np.bincount(sizes, counts, cap + 1).astype(np.int64)[: cap + 1]
     x = np.arange(cap + 1)
     total, count = np.cumsum(n * x), np.cumsum(n)
     best = -(-int(total[-1]) // cap)
@@ -157,7 +174,9 @@ def pack(pieces: DataFrame, cap: int = 2048, per_part: int = 100_000, fan_in: in
     Pieces are dealt by hash over parts of about ``per_part``; each part is packed best-fit decreasing and certified
     where its bins equal its lower bound. A part with a gap gives its ``release`` emptiest bins (a certified one its
     emptiest) to an exchange: those of ``fan_in`` parts meet and are packed again, level by level up to one node. A
-    level never uses more bins than it was given. Nodes are bounded: ``fan_in * release`` bins.
+    level never uses more bins than it was given. Nodes are bounded: ``fan_in * release`` bins. Where a part's gap is
+    wider than ``release``, what the exchange could have saved beyond those bins stays; :func:`certificate` says how far
+    the whole packing is from its bound.
     """
     rows = pieces.count()
     parts = max(1, -(-rows // per_part))
@@ -174,6 +193,13 @@ def pack(pieces: DataFrame, cap: int = 2048, per_part: int = 100_000, fan_in: in
         parts, level = -(-parts // fan_in), level + 1
 
 
+def certificate(packed: DataFrame, cap: int = 2048) -> tuple[int, int]:
+    """Sequences of a packing, and the bound that no packing of these pieces goes below (from the counts of sizes: one row a size)."""
+    sizes = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    bound = lower_bound(sizes["length"].to_numpy(np.int64), cap, sizes["n"].to_numpy(np.int64))
+    return packed.select("sequence_id").distinct().count(), bound
+
+
 def best_fit_packing(docs: DataFrame, cap: int = 2048, vocabulary: str | None = None) -> DataFrame:
     """Pieces of all documents with their place: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
