@@ -8,6 +8,7 @@ from labelled pages (``data-y`` attributes); :func:`labelled_pages` writes such
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Elements whose content is never text of the page.
-SKIPPED = "script|style|noscript|template|svg|iframe|object|select|textarea|math|canvas|audio|video|title"
+SKIPPED = "script|style|noscript|template|svg|iframe|object|select|textarea|canvas|audio|video|title"
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html label legend li link main menu meta nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -47,15 +48,13 @@ _NAMES = [*(f"tag:{t}" for t in TAGS), "tag:other", *(f"name:{k}" for k in NAMES
 FEATURES = {n: i for i, n in enumerate(_NAMES)}
 #: Those whose content is no markup: unclosed, they run to the end of the page. An unclosed one of the others is a tag like any.
 RAW = frozenset("script style textarea title".split())
-#: Those that a slash closes at once.
-FOREIGN = frozenset("svg math".split())
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<(?P<skip>{SKIPPED})(?=[\s/>])(?:"[^"]*"|'[^']*'|[^'">])*>"""
+    rf"""(?P<note><!--)|<(?P<skip>{SKIPPED})(?=[\s/>])(?:"[^"]*"|'[^']*'|[^'">])*>"""
     r"""|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?/][^>]*>""",
     re.S | re.I,
 )
-_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED.split("|")}
-_ATTR = re.compile(r"""\b(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED.split("|")} | {"!--": re.compile(r"--!?>")}
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -69,8 +68,12 @@ class Tree:
     text: list
 
 
-def parse(page: str) -> Tree:
-    """DOM of a page, as far as blocks go: text between two block boundaries is one text node, inline tags add nothing but links."""
+def parse(page: str, labelled: bool = False) -> Tree:
+    """DOM of a page, as far as blocks go: text between two block boundaries is one text node, inline tags add nothing but links.
+
+    Labels are read from pages to learn from (``labelled``) only. A skipped element or comment that is never closed is
+    no more than its tag, but for those whose content is no markup.
+    """
     t = Tree([-1], [[FEATURES["tag:html"], FEATURES["bias"]]], [-1], [None])
     stack = [("#root", 0, frozenset(), -1)]  # tag, node, inherited features, label
     held: list[str] = []
@@ -113,8 +116,11 @@ def parse(page: str) -> Tree:
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        if skip := (m.group("skip") or "").lower():
-            if not (skip in FOREIGN and page[at - 2] == "/"):
+        if m.group("note") and page.startswith((">", "->"), at):  # an empty comment
+            at = page.index(">", at) + 1
+            continue
+        if skip := "!--" if m.group("note") else (m.group("skip") or "").lower():
+            if not (skip == "svg" and page[at - 2] == "/"):  # a slash closes it at once
                 stop = None if skip in unclosed else _CLOSING[skip].search(page, at)
                 if stop:
                     at = stop.end()
@@ -155,7 +161,7 @@ def parse(page: str) -> Tree:
             for w in _WORD.findall(own.get(k, "")):
                 if w.lower() in _NAME_OF:
                     kinds.add(_NAME_OF[w.lower()])
-        if "data-y" in own:
+        if labelled and "data-y" in own:
             y = int(own["data-y"])
         f = [FEATURES.get(f"tag:{tag}", FEATURES["tag:other"]), FEATURES["bias"], *above, *(FEATURES[f"name:{k}"] for k in sorted(kinds))]
         t.parent.append(node)
@@ -224,7 +230,7 @@ class Forest:
 
 def train(pages: list[str], rounds: int = 150, rate: float = 0.15, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights of node features and of parent-child pairs, from pages whose ``data-y`` labels cover every node (no label: 0)."""
-    forest = Forest([parse(p) for p in pages])
+    forest = Forest([parse(p, True) for p in pages])
     y = np.maximum(forest.label, 0)
     child = np.flatnonzero(forest.parent >= 0)
     seen_pairs = np.bincount(2 * y[forest.parent[child]] + y[child], minlength=4).reshape(2, 2)
@@ -322,6 +328,12 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[str]:
     return pages
 
 
+@functools.cache
+def default_model() -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`train` learns from :func:`labelled_pages`: the same in every run."""
+    return train(labelled_pages())
+
+
 def extract_text(tree_list: list[Tree], weights: np.ndarray, edge: np.ndarray) -> list[str]:
     forest = Forest(tree_list)
     p, _ = forest.marginals(weights, edge)
@@ -335,11 +347,12 @@ def extract(pages: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None
     """``page_id, url, text, n_chars`` of every page (one row per input row).
 
     Null or empty html, and pages without content, give an empty text; a null page_id or url stays null; repeated rows
-    are extracted each; an empty table gives no rows. Whole pages are read, whatever their length. Other columns are
+    are extracted each; an empty table gives no rows. Whole pages are read, whatever their length (a page's tree must fit a
+    worker: about 1 KB a block). Other columns are
     ignored. ``model`` is what :func:`train` returns; without one it is trained from :func:`labelled_pages`.
     """
     small_batches(pages.sparkSession)
-    weights, edge = model or train(labelled_pages())
+    weights, edge = model or default_model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
