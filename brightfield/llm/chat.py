@@ -3,7 +3,7 @@
 Template: ``<turn>role\\ntext</turn>\\n`` for each block of adjacent turns of one role; the texts of a block are
 joined by ``<join/>``. A control string inside a text gets one more backslash after its ``<`` (``<turn>`` becomes
 ``<\\turn>``, ``<\\turn>`` becomes ``<\\\\turn>``), so control strings never occur in an escaped text and reading back
-takes that backslash away again. In a role, backslash and line feed are escaped as well.
+takes that backslash away again. In a role, a backslash is written ``\\b`` and a line feed ``\\n`` as well.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 CONTROL = r"(\\*)(/?turn>|join/>)"
 OPEN, JOIN, CLOSE = "<turn>", "<join/>", "</turn>\n"
+CHUNK = 256  # pieces of a conversation whose places are summed up at a time
 
 
 def escape(text: Column) -> Column:
@@ -24,21 +25,21 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
 def unescape_role(role: Column) -> Column:
-    # a pair of backslashes is held as NUL-marked text while the line feeds come back
-    held = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # after a backslash stands b or n only, so neither step makes anything that the next one reads
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: ``conv_id, formatted, loss_spans`` (array of ``start, length`` in code points, from 0).
 
     Turns are ordered by (turn, role, text), nulls first, so ties and repeated rows have one defined order and none is
-    dropped. Null text is an empty text, null role an empty role; a null conv_id is a conversation of its own. An empty
-    table gives no rows. Columns other than ``conv_id, turn, role, text`` are ignored, whatever their names.
+    dropped. Null text is an empty text, null role an empty role; a null conv_id is a conversation of its own. Texts of any
+    length are kept whole; a conversation's turns are one row of the result, so they must fit one. An empty table gives no
+    rows. Columns other than ``conv_id, turn, role, text`` are ignored, whatever their names.
     """
     rows = turns.select(
         "conv_id",
@@ -81,13 +82,21 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
         F.transform("pieces", lambda p: F.struct(F.length(p["s"]).cast("long").alias("n"), p["loss"].alias("loss"))).alias("sizes"),
     )
-    span = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.slice(F.array(span), 1, 0).alias("spans"))
+    # places of the loss pieces: sums over chunks of pieces first, so that long conversations cost no copy of all spans a turn
+    long = lambda n: F.lit(n).cast("long")
+    spans = F.array().cast("array<struct<start:long,length:long>>")
+    zero = F.struct(long(0).alias("at"), spans.alias("spans"))
     step = lambda acc, p: F.struct(
         (acc["at"] + p["n"]).alias("at"),
         F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), p["n"].alias("length"))))).otherwise(acc["spans"]).alias("spans"),
     )
-    return conv.select("conv_id", "formatted", F.aggregate("sizes", zero, step, lambda a: a["spans"]).alias("loss_spans"))
+    chunks = F.transform(F.sequence(F.lit(1), F.size("sizes"), F.lit(CHUNK)), lambda i: F.aggregate(F.slice("sizes", i, CHUNK), zero, step))
+    conv = conv.select("conv_id", "formatted", chunks.alias("chunks"))
+    none = F.struct(long(0).alias("at"), F.array().cast("array<long>").alias("begins"))
+    begin = lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["begins"], F.array(acc["at"])).alias("begins"))
+    conv = conv.withColumn("begins", F.aggregate("chunks", none, begin, lambda a: a["begins"]))
+    moved = F.zip_with("chunks", "begins", lambda c, b: F.transform(c["spans"], lambda s: F.struct((s["start"] + b).alias("start"), s["length"].alias("length"))))
+    return conv.select("conv_id", "formatted", F.flatten(moved).alias("loss_spans"))
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
