@@ -134,7 +134,10 @@ def exact_dedup(docs: DataFrame, in_snapshot: Column | None = None, keys_per_buc
     Null text is empty text; a null doc_id is grouped like any other, and stays only if its group has no other id (a group
     of such rows alone on either side is compared by digest).
     Repeated rows are members each; ``kept`` is true on one row of a group (of equal ids, one of them). Empty input
-    gives no rows. Columns other than ``doc_id, text`` are ignored. Groups of any size are counted with partial sums.
+    gives no rows. Columns other than ``doc_id, text`` are ignored. Groups of any size are counted with partial sums; where
+    the rows come back to their group (narrow ones: id and digest), a group that holds a large part of all rows is split by
+    the skew handling of adaptive joins, and the window behind it goes by digest and id, so it meets one id's rows only.
+    Very long texts are digested whole and compared only where digests meet.
     """
     if in_snapshot is None:
         in_snapshot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(2)) == 0

@@ -8,6 +8,7 @@ one with the largest mean marginal over its words.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,17 +42,18 @@ def word_features(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarr
     within = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
     text = np.zeros(place[-1], np.uint64)
     text[place[own] + 1 + within] = words.raw[words.start[which][own] + within]
-    owner = np.repeat(np.arange(len(which)), size + 2)
-    rows, owners = [(words.hash[which] ^ np.uint64(0x5851F42D4C957F2D)) & mask], [np.arange(len(which))]
+    owner = np.repeat(np.arange(len(which), dtype=np.int32), size + 2)
+    narrow = lambda x: x.astype(np.int32)  # noqa: E731  at once: together they are the largest arrays of a fit
+    rows, owners = [narrow((words.hash[which] ^ np.uint64(0x5851F42D4C957F2D)) & mask)], [np.arange(len(which), dtype=np.int32)]
     gram = np.zeros(len(text), np.uint64)
     for n in LENGTHS:
         gram = gram[: len(text) - n + 1] * np.uint64(257) + text[n - 1 :] + np.uint64(1)
         inside = owner[: len(gram)] == owner[n - 1 :]
         if n == 1:
             inside &= text > 0
-        rows.append(mix64(gram[inside] + np.uint64(n << 40)) & mask)
+        rows.append(narrow(mix64(gram[inside] + np.uint64(n << 40)) & mask))
         owners.append(owner[: len(gram)][inside])
-    return np.concatenate(rows).astype(np.int32), np.concatenate(owners).astype(np.int32)
+    return np.concatenate(rows), np.concatenate(owners)
 
 
 def emissions(model: Model, words: Words, which: np.ndarray) -> np.ndarray:
@@ -69,6 +71,22 @@ def _lexicon_scores(model: Model, hashes: np.ndarray) -> np.ndarray:
     return ((bits[:, None] >> np.arange(len(model.langs))) & 1).astype(np.float64)
 
 
+class Sums:
+    """Sums of values by group, over and over for the same groups: values are put in order of group and added run by run."""
+
+    def __init__(self, group: np.ndarray, taken: np.ndarray | None = None):
+        self.order = np.argsort(group, kind="stable").astype(np.int32)
+        ordered = group[self.order]
+        self.first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        self.groups = ordered[self.first]
+        if taken is not None:  # the values come from a table, at these places
+            self.order = taken[self.order]  # in place of the order itself
+
+    def __call__(self, table: np.ndarray) -> np.ndarray:
+        """One row a group that occurs, in order; ``table`` has a column for each kind of value."""
+        return np.stack([np.add.reduceat(np.take(np.ascontiguousarray(table[:, k]), self.order), self.first) for k in range(table.shape[1])], 1)
+
+
 class Chains:
     """Words of several sequences laid out by place: all first words, then all second words, and so on."""
 
@@ -89,14 +107,17 @@ class Chains:
         """Forward-backward: marginals in sequence order, and (if asked for) expected transition counts."""
         k = potentials.shape[1]
         e = np.empty_like(potentials)
-        e[self.slot] = np.exp(potentials - potentials.max(1, keepdims=True)) + np.float32(1e-30)
+        top = functools.reduce(np.maximum, potentials.T)[:, None]  # column by column: far faster than along short rows
+        e[self.slot] = np.exp(potentials - top) + np.float32(1e-30)
         t = np.exp(transitions)
+        ones = np.ones((k, 1), e.dtype)
+        total = lambda x: x @ ones
         alpha, expected = np.empty_like(e), np.zeros((k, k))
         now = None
         for i, n in enumerate(self.active):
             here = e[self.offset[i] : self.offset[i] + n]
             now = here if now is None else (now[:n] @ t) * here
-            now = now / now.sum(1, keepdims=True)
+            now = now / total(now)
             alpha[self.offset[i] : self.offset[i] + n] = now
         beta = np.ones((0, k), e.dtype)
         for i in range(len(self.active) - 1, -1, -1):
@@ -108,12 +129,12 @@ class Chains:
                 back[:m] = ahead @ t.T
                 if pairs:
                     left = alpha[a : a + m]
-                    expected += (left / (left * back[:m]).sum(1, keepdims=True)).T @ ahead * t
-                beta = back / back.sum(1, keepdims=True)
+                    expected += (left / total(left * back[:m])).T @ ahead * t
+                beta = back / total(back)
             else:
                 beta = np.ones((n, k), e.dtype)
             e_slot = alpha[a : a + n] * beta
-            alpha[a : a + n] = e_slot / e_slot.sum(1, keepdims=True)
+            alpha[a : a + n] = e_slot / total(e_slot)
         return alpha[self.slot], expected
 
 
@@ -134,7 +155,9 @@ def train(texts: list[str], langs: list[str], window: int = 64, rounds: int = 40
         return model
     chains = Chains(cuts)
     rows, owner = word_features(words, index)
-    scale = 1 / np.sqrt(np.bincount(owner, minlength=len(unique)))
+    scale = 1 / np.sqrt(np.bincount(owner, minlength=len(unique)))[:, None]
+    of_word, of_row, of_place = Sums(owner, rows), Sums(rows, owner), Sums(inverse)  # each word has a feature and a place
+    del rows, owner
     lex = _lexicon_scores(model, unique)
     begin = np.zeros(len(y), bool)
     begin[np.cumsum(cuts) - cuts] = True
@@ -144,10 +167,10 @@ def train(texts: list[str], langs: list[str], window: int = 64, rounds: int = 40
     state = [np.zeros_like(p) for p in (model.weights, model.weights, model.transitions, model.transitions)]
     n = len(y)
     for step in range(1, rounds + 1):
-        score = np.stack([np.bincount(owner, model.weights[rows, k], len(unique)) for k in range(len(names))], 1) * scale[:, None] + lex
+        score = of_word(model.weights.astype(np.float32)) * scale + lex
         p, pairs = chains.marginals(score.astype(np.float32)[inverse], model.transitions.astype(np.float32), True)
-        miss = seen - np.stack([np.bincount(inverse, p[:, k], len(unique)) for k in range(len(names))], 1)
-        up = np.stack([np.bincount(rows, (miss[:, k] * scale)[owner], 1 << BITS) for k in range(len(names))], 1) / n
+        up = np.zeros_like(model.weights)
+        up[of_row.groups] = of_row((seen - of_place(p.astype(np.float64))) * scale) / n
         for param, grad, m, v in ((model.weights, up, state[0], state[1]), (model.transitions, (seen_pairs - pairs) / n, state[2], state[3])):
             grad = grad - penalty * param * (1 / 50 if param is model.weights else 1)
             m += 0.1 * (grad - m)
@@ -257,6 +280,32 @@ def language_id(docs: DataFrame, model: Model | None = None, max_docs: int = 150
     return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def word_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """``doc_id, words`` of every document: of each word (lower case, in order) its language and that label's marginal.
+
+    Words are the runs without ASCII white space. Null, empty and blank texts, and all texts where no model could be
+    learned, have no labelled words; repeated rows are labelled each; an empty table gives no rows; other columns are
+    ignored. A text of any length is one chain, and its words one array.
+    """
+    small_batches(docs.sparkSession)
+    model = model or fit(docs)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = [t or "" for t in pdf["text"]]
+            out: list[list[dict]] = [[] for _ in texts]
+            for part in _batches(texts, 2_000_000) if model.langs else ():
+                words, p = word_marginals(model, [texts[i] for i in part])
+                raw, best = words.raw.tobytes(), p.argmax(1)
+                for i, a, b in zip(part.tolist(), words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                    out[i] = [{"word": raw[words.start[k] : words.end[k]].decode(), "lang": model.langs[best[k]], "score": float(p[k, best[k]])} for k in range(a, b)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "words": pd.Series(out, dtype=object)})
+        release_memory()
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(run, "doc_id long, words array<struct<word:string,lang:string,score:double>>")
+
+
 def with_language(docs: DataFrame, model: Model, column: str = "language") -> DataFrame:
     """``docs`` with one more column ``column`` (struct of ``lang_pred, score``), by the rules of :func:`language_id`; the rest stays in the JVM."""
 
