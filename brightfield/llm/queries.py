@@ -22,7 +22,7 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "record_id", "warc_type", "target_uri", "date", "refers_to", "content_type",
         F.element_at("headers", "Source-Payload-Digest").alias("source_payload_digest"),
         F.element_at("headers", "Source-Block-Digest").alias("source_block_digest"),
-        "block", "block_digest",
+        F.col("block").cast("string").alias("block"), "block_digest",
     )
 
 
@@ -71,8 +71,9 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
-    )
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected",
+        *(F.round(f"rate_{k}", 6).alias(f"rate_{k}") for k in quality.HOST_RULES),
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -179,8 +180,12 @@ ORACLES: dict[str, str] = {
         host AS (SELECT source, rule, count(*) AS n, sum(bad::INT) AS bad FROM fails GROUP BY source, rule),
         prior AS (SELECT rule, sum(bad) / sum(n) AS m, var_pop(bad / n) - sum(bad) / sum(n) * (1 - sum(bad) / sum(n)) * avg(1 / n) AS v FROM host GROUP BY rule),
         k AS (SELECT rule, m, CASE WHEN v <= 0 THEN 1e6 ELSE least(greatest(m * (1 - m) / v - 1, 1.0), 1e6) END AS k FROM prior),
-        verdict AS (SELECT source, bool_or((bad + m * k) / (n + k) > 0.5) AS rejected FROM host JOIN k USING (rule) GROUP BY source)
-        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+        rates AS (SELECT source, rule, (bad + m * k) / (n + k) AS rate FROM host JOIN k USING (rule)),
+        verdict AS (
+          SELECT source, bool_or(rate > 0.5) AS host_rejected, round(any_value(rate) FILTER (rule = 1), 6) AS rate_base, round(any_value(rate) FILTER (rule = 2), 6) AS rate_symbols,
+            round(any_value(rate) FILTER (rule = 3), 6) AS rate_lines, round(any_value(rate) FILTER (rule = 4), 6) AS rate_word_length FROM rates GROUP BY source)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_rejected AS kept,
+          host_rejected, rate_base, rate_symbols, rate_lines, rate_word_length
         FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source""",
 }
 
