@@ -28,26 +28,28 @@ def document_counts(docs: DataFrame, min_words: int = 50, max_repeat_percent: in
         lines.alias("l"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
-    # 3-word windows, as strings: words hold no space, so the joined text is unambiguous
+    df = df.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     windows = F.when(
-        F.size("w") >= 3,
-        F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))),
-    ).otherwise(F.array().cast("array<string>"))
+        F.size("h") >= 3, F.transform(F.sequence(F.lit(0), F.size("h") - 3), lambda i: F.xxhash64(F.get("h", i), F.get("h", i + 1), F.get("h", i + 2)))
+    ).otherwise(F.array().cast("array<long>"))
     df = df.select(
-        "doc_id", "host", "n_symbols",
+        "doc_id", "host", "n_symbols", "w",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size("l").cast("long").alias("n_lines"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         windows.alias("g"),
     )
-    # equal windows meet after sorting; texts without a repeat skip the sort
-    placed = F.transform("g", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    df = df.withColumn("s", F.when(F.size(F.array_distinct("g")) < F.size("g"), F.sort_array(placed)))
+    # equal 3-word windows have equal hashes; those that share a hash are compared as strings (words hold no space, so the
+    # joined words are unambiguous). Either meets its likes by sorting; texts without a repeat skip both sorts.
+    hashed = F.transform("g", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    df = df.withColumn("s", F.when(F.size(F.array_distinct("g")) < F.size("g"), F.sort_array(hashed)))
     same = lambda x, y: F.coalesce(x["t"] == y["t"], F.lit(False))  # noqa: E731  past either end there is no row
-    again = F.filter("s", lambda x, j: same(x, F.get("s", j - 1)) | same(x, F.get("s", j + 1)))
-    covered = F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
-    df = df.withColumn("n_repeat_words", F.when(F.col("s").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long"))
+    again = lambda c: F.filter(c, lambda x, j: same(x, F.get(c, j - 1)) | same(x, F.get(c, j + 1)))
+    words = lambda x: F.concat_ws(" ", F.get("w", x["i"]), F.get("w", x["i"] + 1), F.get("w", x["i"] + 2))
+    df = df.withColumn("p", F.sort_array(F.transform(again("s"), lambda x: F.struct(words(x).alias("t"), x["i"].alias("i")))))
+    covered = F.array_distinct(F.flatten(F.transform(again("p"), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
+    df = df.withColumn("n_repeat_words", F.when(F.col("p").isNull(), F.lit(0)).otherwise(F.size(covered)).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return df.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
 
