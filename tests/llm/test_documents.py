@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from brightfield.llm import exact, jaccard, mixing, packing, quality, suffixes
+from brightfield.llm.common import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -84,9 +85,36 @@ def test_jaccard_components(docs, texts, options):
 def test_jaccard_odd_rows(odd, empty):
     assert jaccard.jaccard_components(empty).collect() == []
     rows = jaccard.jaccard_components(odd).collect()
-    assert Counter((r.doc_id, r.component_id) for r in rows) == Counter({(None, None): 2, (5, 5): 2, (6, 5): 1, (6, 6): 1}) or Counter(
-        (r.doc_id, r.component_id) for r in rows
-    ) == Counter({(None, None): 2, (5, 5): 2, (6, 5): 2})
+    assert Counter((r.doc_id, r.component_id) for r in rows) == Counter({(None, None): 2, (5, 5): 2, (6, 5): 2})
+
+
+def test_jaccard_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    # 9 holds the texts of 1 and of 4; 7 has no words but shares its id with a copy of c; 8 stands alone
+    rows = [(1, a), (9, a + " z"), (9, b), (4, b), (3, c), (7, c), (7, None), (8, d), (8, " "), (10, None)]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(1, 1): 1, (9, 1): 2, (4, 1): 1, (3, 3): 1, (7, 3): 2, (8, 8): 2, (10, 10): 1})
+
+
+def test_jaccard_equal_polynomials(spark):
+    """Words of two letters in Thue-Morse order and its mirror: polynomials modulo a power of two cannot tell them apart."""
+    bits = [0]
+    while len(bits) < 2048:
+        bits += [1 - x for x in bits]
+    for n in (1024, 2048):
+        left, right = ("".join("ab"[x ^ k] for x in bits[:n]) for k in (0, 1))
+        rows = [(1, left), (2, right), (3, f"{left} {right}"), (4, f"{right} {left}"), (5, left)]
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_word_hashes_do_not_depend_on_place():
+    rng = np.random.default_rng(6)
+    long_word = bytes(rng.integers(97, 123, 700_000, dtype=np.uint8))
+    texts = [b"one " + long_word + b" two", b"x " * 1000 + long_word + b" two", long_word[:-1] + b"A two"]
+    hashes = [Words([t]).hash for t in texts]
+    assert hashes[0][1] == hashes[1][1000] != hashes[2][0] and hashes[0][2] == hashes[1][1001] == hashes[2][1]
+    assert (Words([b"", *texts]).hash == np.concatenate(hashes)).all()
 
 
 def removed(texts, length=100):
@@ -105,11 +133,10 @@ def removed(texts, length=100):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 500}, {"shard_bytes": 1}, {"hot_pieces": 1}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 5000}, {"hot_pieces": 1}, {"hot_pieces": 3, "shard_bytes": 20_000}])
 def test_suffix_repeats(docs, texts, options):
-    short = [(i, t) for i, t in texts if t is None or len(t) < 100_000]
-    got = by_id(suffixes.remove_repeats(docs.filter("text IS NULL OR length(text) < 100000"), **options))
-    want = removed(short)
+    got = by_id(suffixes.remove_repeats(docs, **options))
+    want = removed(texts)
     assert {i: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for i, r in got.items()} == want
     assert sum(w[1] for w in want.values()) > 3000
 
@@ -138,6 +165,18 @@ def test_suffix_repeated_rows(spark, parts, options):
     assert want[5][3] == a.encode() and want[6][3] == b""
 
 
+@pytest.mark.parametrize("options", [{}, {"hot_pieces": 1}])
+def test_suffix_shared_ids(spark, options):
+    rng = np.random.default_rng(5)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(3))
+    rows = [(1, a), (2, b[:50] + a[:150] + b[50:]), (2, c[:20] + a[:220] + c[20:]), (2, c[:20] + a[:220] + c[20:]), (3, b + " " + c)]
+    order = sorted(dict.fromkeys(rows), key=lambda x: (x[0], int.from_bytes(hashlib.sha256(x[1].encode()).digest()[:8], "big", signed=True)))
+    want = removed([(k, t) for k, (_, t) in enumerate(order)])
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **options).collect()
+    expected = {x: want[k][3] for k, x in enumerate(order)}
+    assert sorted((r.doc_id, bytes(r.kept)) for r in got) == sorted((x[0], expected[x]) for x in rows)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(1)
     for raw in (rng.integers(97, 99, 700, dtype=np.uint8), np.zeros(300, np.uint8), np.frombuffer(b"abracadabra" * 20, np.uint8), np.zeros(1, np.uint8)):
@@ -156,7 +195,6 @@ def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     cap = 256
     rows = packing.best_fit_packing(docs, cap).collect()
     pieces, bins = defaultdict(list), defaultdict(list)
@@ -180,6 +218,8 @@ def test_packing(docs, texts):
             at += r.length
         assert at <= cap
     assert len(bins) <= math.ceil(total / cap) + 1
+    sequences, bound = packing.certificate(packing.best_fit_packing(docs, cap), cap)
+    assert sequences == len(bins) and math.ceil(total / cap) <= bound <= sequences <= bound + 1
 
 
 def test_packing_added_tokens(spark):
@@ -188,7 +228,7 @@ def test_packing_added_tokens(spark):
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     end = "<|endoftext|>"
-    texts = [f"x{end}y", end, f"{end}{end}", f"one  {end}  two\n\n{end}\n", f"<|{end}|>", "<|endoftext |>", f" {end}é日本 \t{end[:-1]}", "plain text", (f"word {end} " * 300)]
+    texts = [f"x{end}y", end, f"{end}{end}", f"one  {end}  two\n\n{end}\n", f"<|{end}|>", "<|endoftext |>", f" {end}é日本 \t{end[:-1]}", "plain text", (f"word {end} " * 300), "a" + " " * 1_000_000 + f"b {end}" + "\n \u3000" * 60_000]
     rows = packing.tokenised_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 256, with_ids=True).orderBy("doc_id", "piece").collect()
     assert t.encode(texts[0], add_special_tokens=False).ids == [87, 50256, 88]
     for i, text in enumerate(texts):
@@ -260,6 +300,47 @@ def test_pivotal_keeps_mass_and_expectation():
     assert np.abs(np.mean(other, 0) - 0.4 * size).max() < 0.12
 
 
+def test_pivotal_units_follow_their_own_draws():
+    """Joint inclusion: of equal units, no two are taken together more often than draws of their own allow (0.16; one draw for both: 0.4)."""
+    n, f, runs = 25, 0.4, 4000
+    taken = np.array([mixing.pivotal_pool(np.full(n, 5.0), f, np.arange(n), seed)[0] > 2.5 for seed in range(runs)])
+    assert np.abs(taken.mean(0) - f).max() < 0.04
+    both = taken.T.astype(float) @ taken / runs
+    off = both[~np.eye(n, dtype=bool)]
+    assert off.max() < 0.2 and off.mean() > 0.14
+
+
+def test_mixing_hot_ids(spark):
+    """Rows without an id and repeated rows are spread over the leaves, and reruns agree."""
+    rng = np.random.default_rng(3)
+    rows = [(None, "w " * int(n), "a") for n in rng.integers(1, 40, 500)] + [(7, "x y z", "b")] * 400 + [(i, "w " * int(n), "a") for i, n in enumerate(rng.integers(1, 40, 200))] + [(8, "q " * 50, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    units = mixing._units(df.selectExpr("doc_id", "source", "size(split(trim(text), ' ')) AS size"), chunk=7)
+    assert units.count() == len(rows) == units.distinct().count()
+    runs = [Counter(map(tuple, mixing.mix_sources(x, per_leaf=20, fan_in=4).collect())) for x in (df, df.repartition(5))]
+    assert runs[0] == runs[1] and sum(runs[0].values()) == len(rows)
+    for source in "abc":
+        mine = {k: n for k, n in runs[0].items() if k[1] == source}
+        target = next(iter(mine))[4]
+        assert abs(sum(k[6] * n for k, n in mine.items()) - target) <= max(k[2] for k in mine) / 2 + 1e-6
+
+
+def test_mixing_many_sources(spark):
+    rng = np.random.default_rng(2)
+    sizes = {f"s{i:03d}": int(x) for i, x in enumerate(rng.zipf(1.4, 200).clip(0, 10**6))} | {"empty": 0, None: 50}
+    df = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, n long, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight, left, open_, want = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}, sum(sizes.values()), set(names), {}
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if share * weight[s] > 3 * sizes[s]}
+        want |= {s: 3.0 * sizes[s] for s in over} if over else {s: share * weight[s] for s in open_}
+        left -= sum(want[s] for s in over)
+        open_ = open_ - over if over else set()
+    assert got == pytest.approx(want)
+
+
 def test_mixing_odd_rows(odd, empty):
     assert mixing.mix_sources(empty).collect() == []
     assert mixing.mix_sources(odd).count() == 6

@@ -24,6 +24,20 @@ def test_language_model():
     assert (model.transitions.diagonal() > 0).all()
 
 
+def test_word_labels(spark):
+    rng = random.Random(2)
+    model = langid.train([sample(x, rng, 60) for x in ("xx", "yy") * 40], ["xx", "yy"] * 40)
+    mixed = [(i, sample("xx", rng, 12) + "\n" + sample("yy", rng, 15).upper(), "b") for i in range(20)] + [(100, None, "b"), (None, " ", "b")]
+    df = spark.createDataFrame(mixed, "doc_id long, text string, words string")
+    got = {r.doc_id: r.words for r in langid.word_languages(df, model).collect()}
+    for i, text, _ in mixed:
+        assert [w.word for w in got[i]] == (text or "").lower().split()
+    labels = [w.lang for i in range(20) for w in got[i]]
+    assert np.mean([a == b for a, b in zip(labels, (["xx"] * 12 + ["yy"] * 15) * 20)]) > 0.95
+    assert langid.word_languages(df.limit(0), model).collect() == []
+    assert all(r.words == [] for r in langid.word_languages(df, langid.train([], [])).collect())
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     sizes, k = np.array([3, 1, 4]), 3
@@ -113,7 +127,7 @@ def test_page_text(spark):
     assert got[1].n_chars == len(got[1].text) and got[2].text == "" and got[None].n_chars == 0 and len(rows) == 5
     assert html_tree.extract(pages.limit(0), model).collect() == []
     # held-out accuracy on pages of other draws
-    trees = [html_tree.parse(p) for p in html_tree.labelled_pages(80, 99)]
+    trees = [html_tree.parse(p, True) for p in html_tree.labelled_pages(80, 99)]
     forest = html_tree.Forest(trees)
     p, _ = forest.marginals(*model)
     is_text = np.array([x is not None for t in trees for x in t.text])
@@ -125,14 +139,27 @@ def test_skipped_elements():
         return [x for x in html_tree.parse(page).text if x]
 
     both = ["one", "two"]
-    for inner in ("<video-js id=x></video-js>", "<audio-player>", "<title-bar></title-bar>", "<svg-icon/>", "<svg class='i'/>", "<math />", "<SVG/>", "<video src=x>", "<select>", "<object data='a>b'>", "<iframe/>"):
+    for inner in ("<video-js id=x></video-js>", "<audio-player>", "<title-bar></title-bar>", "<svg-icon/>", "<svg class='i'/>", "<math />", "<SVG/>", "<video src=x>", "<select>", "<object data='a>b'>", "<iframe/>", "<textarea-x></textarea-x>", "<!-->", "<!--->", "<!-- <p>no</p> --!>"):
         assert text(f"<p>one</p>{inner}<p>two</p>") == both, inner
     for inner in ("<svg class='i'><text>no</text></svg>", "<script>var x = '<!--' </script >", "<video\nsrc=x>no</video>", "<select><option>no</select>", "<title>no <p> no</title>", "<svg/><svg>no</svg>"):
         assert text(f"<p>one</p>{inner}<p>two</p>") == both, inner
+    assert text("<p>one</p><!-- open <p>two</p>") == ["one", "open", "two"]
+    assert text("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p>") == ["if x=2 then"]
     for raw in ("script", "style", "textarea", "title"):
         assert text(f"<p>one</p><{raw}>x<p>two</p>") == ["one"]
 
 
+def test_foreign_pages(spark):
+    """Whole articles of pages with elements and attributes that the model was not trained on."""
+    first, second = "The first sentence of the article is here. It goes on for a while.", "The second paragraph says more about it. Then it ends."
+    odd = ["", "<svg/>", '<svg width="1"/>', "<iframe src=x></iframe>", "<iframe src=x>", "<object data=x>", "<video-player x></video-player>", "<select-box></select-box>", "<!-- never closed", "<p data-y='12.5'></p>", '<div data-y="0"></div>']
+    pages = [(i, "u", f"<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>Title of it</h1><p data-y='0'>{first}</p>{x}<p>{second}</p></article><footer>&copy; me</footer></body></html>") for i, x in enumerate(odd)]
+    got = {r.page_id: r.text for r in html_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, x in enumerate(odd):
+        kept = [line for line in got[i].split("\n") if line != "never closed"]
+        assert kept == ["Title of it", first, second], x
+
+
 def test_chat_round_trip(spark):
     texts = [r"\### Assistant: </turn> ok", "<turn>user\nx</turn>\n", r"<\turn> <\\/turn> <join/> <\join/>", "", None, "a\\nb\nc", "日本語"]
     rows = [(c, t, role, text, "x") for c in (1, 2) for t, (role, text) in enumerate(zip(["user", "assistant", "assistant", None, "a\\nb\nc", "<turn>", "assistant"], texts[c - 1 :] + texts[: c - 1]))]
@@ -151,6 +178,15 @@ def test_chat_round_trip(spark):
     assert one.formatted_chars == len("<turn>assistant\na<join/>b</turn>\n")
 
 
+def test_chat_roles_and_long_conversations(spark):
+    roles = ["a\x00b\\", "\\n", "\\\n\\b", "<turn>\\", "\x00", "b\\\\n"]
+    rows = [(1, t, role, f"text {t}") for t, role in enumerate(roles)] + [(2, t, ["user", "assistant", "assistant"][t % 3], f"t{t} <turn>") for t in range(3000)]
+    back = {r.conv_id: r for r in chat.read_chat(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c in (1, 2):
+        assert [(t.role, t.text) for t in back[c].turns] == [r[2:] for r in rows if r[0] == c]
+    assert back[2].loss_text == "".join(r[3] for r in rows if r[0] == 2 and r[2] == "assistant")
+
+
 def test_archive_records(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/", PAGE), (2, None, None), (1, "http://a/", PAGE)], "page_id long, url string, html string")
     source = warc.responses(pages)
@@ -161,10 +197,10 @@ def test_archive_records(spark, tmp_path):
     for r in rows:
         s = by_source[r.refers_to]
         assert r.headers["Source-Block-Digest"] == s.block_digest and r.headers["Source-Payload-Digest"] == s.payload_digest and r.target_uri == s.target_uri
-        assert r.block_digest == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest()
-    text = next(r.block for r in rows if r.page_id == 1 and r.warc_type == "conversion")
+        assert r.block_digest == "sha256:" + hashlib.sha256(r.block).hexdigest()
+    text = next(r.block for r in rows if r.page_id == 1 and r.warc_type == "conversion").decode()
     assert "A & B" in text and "var x" not in text and "<" not in text.replace("1 < 2", "")
-    meta = next(r.block for r in rows if r.page_id == 1 and r.warc_type == "metadata")
+    meta = next(r.block for r in rows if r.page_id == 1 and r.warc_type == "metadata").decode()
     assert f"source-bytes: {len(PAGE.encode())}\r\n" in meta and "source-status: HTTP/1.1 200 OK" in meta
     members = warc.archive_members(records).collect()
     (tmp_path / "x.warc.gz").write_bytes(b"".join(bytes(m.member) for m in members))
@@ -174,6 +210,45 @@ def test_archive_records(spark, tmp_path):
     assert gzip.decompress(bytes(members[0].member)).startswith(b"WARC/1.1\r\n")
 
 
+def test_archive_bytes(spark, tmp_path):
+    """Bytes that are no UTF-8 come through, digests hold, charsets are read, damaged files give what can be read."""
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={}\r\nX-Y: caf\xe9\r\n\r\n"
+    blocks = [
+        head.format("ISO-8859-1").encode("latin-1") + "<p>na\xefve caf\xe9</p>".encode("latin-1"),
+        head.format('"windows-1251"').encode("latin-1") + "<p>\u043c\u0438\u0440</p>".encode("cp1251"),
+        head.format("utf-8").encode("latin-1") + b"<p>ok \xff\xfe end</p>\n\r\n\n",
+        head.format("no-such").encode("latin-1") + "<p>\u00fc</p>".encode(),
+        b"no head at all", b"\r\n\r\n<p>bare</p>", b"", bytes(range(256)) * 40 + b"\n",
+    ]
+    digest = lambda b: "sha256:" + hashlib.sha256(b).hexdigest()
+    rows = [dict.fromkeys(warc.NAMES) | {"record_id": f"<r{i}>", "warc_type": "response", "headers": {"X": "1"}, "block": b, "block_digest": digest(b)} for i, b in enumerate(blocks)]
+    members = [warc.to_bytes(r) for r in rows]
+    whole = b"".join(gzip.decompress(m) for m in members)
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    (tmp_path / "b.warc").write_bytes(whole)
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(whole))
+    (tmp_path / "empty.warc.gz").write_bytes(gzip.compress(b""))
+    for name in ("a.warc.gz", "b.warc", "c.warc.gz"):
+        read = warc.read_warc(spark, str(tmp_path / name))
+        got = {r.record_id: r for r in read.collect()}
+        assert [bytes(got[f"<r{i}>"].block) for i in range(len(blocks))] == blocks, name
+        assert all(digest(bytes(r.block)) == r.block_digest and r.damage is None and r.headers == {"X": "1"} for r in got.values())
+    assert warc.read_warc(spark, str(tmp_path / "empty.warc.gz")).collect() == []
+    assert warc.read_warc(spark, str(tmp_path / "*.warc*")).count() == 3 * len(blocks)
+    found = {(r.refers_to, r.warc_type): r for r in warc.derivatives(read, keep=("headers", "warc_type")).collect()}
+    text = [bytes(found[f"<r{i}>", "conversion"].block).decode() for i in range(7)]
+    assert text == ["na\xefve caf\xe9", "\u043c\u0438\u0440", "ok \ufffd\ufffd end", "\u00fc", "no head at all", "bare", ""]
+    assert "source-header: X-Y: caf\xe9\r\n" in bytes(found["<r0>", "metadata"].block).decode()
+    assert found["<r0>", "metadata"].source_headers == {"X": "1"} and found["<r0>", "metadata"].source_warc_type == "response"
+    # a member cut in the middle, a length that is missing
+    (tmp_path / "d.warc.gz").write_bytes(b"".join(members[:3]) + members[7][: len(members[7]) * 2 // 3])
+    (tmp_path / "e.warc").write_bytes(gzip.decompress(members[0]) + b"junk\r\nWARC/1.0\r\nWARC-Record-ID: <n>\r\n\r\n" + gzip.decompress(members[1]) + b"WARC/1.0\r\nContent-Length: 99\r\n\r\nshort")
+    got = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / "d.warc.gz")).collect()}
+    assert [bytes(got[f"<r{i}>"].block) for i in range(3)] == blocks[:3] and len(got) <= 4
+    got = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path / "e.warc")).collect()}
+    assert bytes(got["<r1>"].block) == blocks[1] and got["<n>"].damage == "no length" and (bytes(got[None].block), got[None].damage) == (b"short", "block cut off")
+
+
 def test_queries_are_named():
     assert {q.split("_")[0] for q in queries.QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
 
@@ -184,5 +259,5 @@ def test_archive_text_references(spark):
     pieces = ["&#8217;", "&#x27;", "&mdash;", "&eacute;", "&hellip;", "&amp;lt;", "&amp;#39;", "&notin;", "&copy 2020", "&unknown;", "R&D & co", "&#0;", "&lt;b&gt;", "&amp;amp;", "&quot;x&quot;&middot;", "&&amp;"]
     pages = [(i, f"<p>a {x} b</p>") for i, x in enumerate(pieces)] + [(100, "<p>a&nbsp;b&#160;c&#xA0;d&#10;e &mdash;</p>"), (101, "<p>a&nbsp;&lt;&copy;</p>"), (102, None)]
     rows = warc.derivatives(warc.responses(spark.createDataFrame([(i, "u", h) for i, h in pages], "page_id long, url string, html string")), keep=("page_id",)).filter("warc_type = 'conversion'").collect()
-    got = {r.page_id: r.block for r in rows}
+    got = {r.page_id: r.block.decode() for r in rows}
     assert got == {i: entities.unescape(f"a {x} b") for i, x in enumerate(pieces)} | {100: "a b c d e \u2014", 101: "a <\xa9", 102: ""}

@@ -4,7 +4,8 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from brightfield.llm import jaccard, mixing
+from brightfield.llm import common, jaccard, mixing
+from pyspark.sql import functions as F
 
 
 def test_stages(spark, docs):
@@ -39,3 +40,26 @@ def test_repeated_and_null_rows(spark, odd, empty):
     assert sorted((str(r.doc_id), (r.text or "")[:5]) for r in left) == [("5", "one t"), ("6", "other"), ("None", ""), ("None", "one t")]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty.select("doc_id", "text", "lang", "source", "n_chars"), "").collect() == []
+
+
+CLASHES = ["gone_id", "kept_id", "Near_Word", "near_bits", "near_place", "mix_id", "mix_copies", "mix_copy", "language_found", "kept_sha", "text_sha", "rows", "kept", "key", "second", "n", "rep", "size", "copies", "label", "leaf"]
+
+
+def test_clashing_names(spark, docs):
+    """Columns named like any that the stages use inside come through as they are."""
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    wide = rows.select("*", *(F.concat(F.lit(f"{c} "), F.col("doc_id")).alias(c) for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, found = stage(spark, rows, ""), stage(spark, wide, "")
+        assert found.columns == wide.columns, name
+        got = found.collect()
+        assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in plain.collect()), name
+        assert all(r[c] == f"{c} {r.doc_id}" for r in got for c in CLASHES), name
+    assert corpus_pipeline.best_fit_packing(spark, wide, "").count() >= rows.count()
+
+
+def test_run_deletes_what_it_no_longer_needs(spark, tmp_path, docs):
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    before = set(common._written)
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.count() > 0 and set(common._written) - before == {packed._cut_path}
