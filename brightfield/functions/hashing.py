@@ -47,3 +47,12 @@ def canonical_hash(*parts: Column) -> Column:
 def sample_order(key: Column, seed: int | str) -> Column:
     """Order of a reproducible shuffle."""
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), key.cast("string")), 256)
+
+
+def envelope_hash(mode: Column, fields: dict[str, list[Column]]) -> Column:
+    """Digest over the fields that count in a row's mode; null in a mode that is not named."""
+    out = F.lit(None).cast("string")
+    for name, parts in fields.items():
+        text = F.concat_ws("\x1f", F.lit(name), *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+        out = F.when(mode == name, F.sha2(text, 256)).otherwise(out)
+    return out

@@ -31,3 +31,14 @@ def classification(text: Column) -> Column:
         F.coalesce(path_value(js, "confidence").try_cast("double"), F.lit(0.0)).alias("confidence"),
         F.coalesce(path_value(js, "reasoning"), F.lit("")).alias("reasoning"),
     )
+
+
+def safe_number(value: Column) -> Column:
+    """A number that JSON can hold: null for NaN and the infinities."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def timestamp(text: Column) -> Column:
+    """An ISO time, with Z or an offset (UTC without); null where the text is none."""
+    zoned = F.regexp_replace(F.trim(text), r"[zZ]$", "+00:00")
+    return F.when(zoned.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?([+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(zoned))

@@ -112,6 +112,11 @@ def redact(text: Column, names: list[str] = ()) -> Column:
     return text
 
 
+def transcript(turns: Column) -> Column:
+    """An array of ``role, text`` as lines ``role: text``."""
+    return F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit(": "), F.coalesce(t["text"], F.lit("")))), "\n")
+
+
 def count_occurrences(text: Column, source: Column) -> Column:
     """Occurrences that do not overlap; 0 for an empty source."""
     return F.when(F.length(source) == 0, 0).otherwise(((F.length(text) - F.length(F.replace(text, source, F.lit("")))) / F.length(source)).cast("int"))

@@ -58,6 +58,13 @@ def excluded_sessions(reviews: DataFrame, session: str, action: str = "action")
     return reviews.withColumn("session_excluded", F.max((F.col(action) == "exclude").cast("int")).over(w) == 1)
 
 
+def review_counters(reviews: DataFrame, by: str, flags: list[str], usage: list[str]) -> DataFrame:
+    """``by, n``, how many rows each flag holds in, and the sums of the usage columns (whole numbers; null counts as 0)."""
+    return reviews.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), *(F.count_if(f).alias(f) for f in flags), *(F.sum(F.coalesce(F.col(u).cast("long"), F.lit(0))).alias(u) for u in usage)
+    )
+
+
 def inconsistent_tokens(df: DataFrame, token: str, replacement: str) -> DataFrame:
     """Placeholders that stand for more than one replacement: must be empty."""
     return df.groupBy(token).agg(F.count_distinct(replacement).alias("replacements")).filter("replacements > 1")
