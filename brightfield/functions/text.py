@@ -11,6 +11,10 @@ from . import patterns as P
 WORD = r"[\p{L}\p{N}_']+"
 
 
+#: Sentences that are gathered at a time.
+_RUN = 256
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value computed once: an expression inside a lambda would be computed again for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -62,7 +66,7 @@ def first_word(sentence: Column) -> Column:
 
 def chunks(text: Column, size: int = 200) -> Column:
     """Sentences gathered greedily: a chunk closes when the next sentence would bring it over ``size`` characters."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    none, words = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
 
     def step(acc: Column, s: Column) -> Column:
         full = (F.length(acc["open"]) + F.length(s) > size) & (acc["open"] != "")
@@ -70,10 +74,18 @@ def chunks(text: Column, size: int = 200) -> Column:
         joined = F.when(full | (acc["open"] == ""), s).otherwise(F.concat(acc["open"], F.lit(" "), s))
         return F.struct(done.alias("done"), joined.alias("open"))
 
-    def close(acc: Column) -> Column:
-        return F.when(F.trim(acc["open"]) == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(F.trim(acc["open"]))))
+    # a run of sentences at a time: what is done is copied within its run only, so long texts cost no square of their length
+    def run(parts: Column) -> Column:
+        def add(acc: Column, i: Column) -> Column:
+            inner = F.aggregate(F.slice(parts, i, _RUN), F.struct(none.alias("done"), acc["open"].alias("open")), step)
+            return let(inner, lambda x: F.struct(F.concat(acc["done"], F.array(x["done"])).alias("done"), x["open"].alias("open")))
+
+        def close(acc: Column) -> Column:
+            return F.flatten(F.when(F.trim(acc["open"]) == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(F.array(F.trim(acc["open"]))))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(parts), F.lit(_RUN)), F.struct(words.alias("done"), F.lit("").alias("open")), add, close)
 
-    return F.aggregate(F.split(text, r"(?<=[.!?])\s+"), start, step, close)
+    return let(F.split(text, r"(?<=[.!?])\s+"), run)
 
 
 def chunk_statistics(text: Column) -> dict[str, Column]:

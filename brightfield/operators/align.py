@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 #: Which outcome classes are paired first.
 CONTRASTS = [("correct", "cap"), ("correct", "wrong"), ("cap", "wrong"), ("correct", "correct"), ("cap", "cap"), ("wrong", "wrong")]
 MATCH = 0.5
@@ -123,8 +125,12 @@ def span_agreement(matched: DataFrame, left: DataFrame, right: DataFrame, key: l
     b = right.select(*key, F.col("no").alias("right_no"), F.col("start").alias("s1"), F.col("end").alias("e1"))
     pairs = matched.filter("kind = 'matched'").join(a, [*key, "left_no"]).join(b, [*key, "right_no"])
     drift = pairs.select(F.explode(F.array(F.abs(F.col("s0") - F.col("s1")), F.abs(F.col("e0") - F.col("e1")))).alias("d"))
-    at = lambda q: F.get(F.col("ds"), F.least(F.size("ds") - 1, F.floor(F.size("ds") * q).cast("int")))
-    drifts = drift.agg(F.sort_array(F.collect_list("d")).alias("ds")).select(at(0.5).alias("drift_median"), at(0.9).alias("drift_p90"), F.lit(1).alias("k"))
+    # counted values with the number below each: an element of the sorted drifts without sorting them all in one place
+    counted = running(drift.groupBy("d").agg(F.count(F.lit(1)).alias("m")), [F.col("d")], {"below": "m"}, "drifts")
+    counted = counted.withColumn("k", F.lit(1)).join(drift.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1)), "k")
+    place = lambda q: F.least(F.col("n") - 1, F.floor(F.col("n") * q))
+    at = lambda q: F.max(F.when((F.col("below") <= place(q)) & (place(q) < F.col("below") + F.col("m")), F.col("d")))
+    drifts = counted.agg(at(0.5).alias("drift_median"), at(0.9).alias("drift_p90")).withColumn("k", F.lit(1))
     share = F.col("matched") / F.nullif(F.col("matched") + F.col("a_only") + F.col("b_only"), F.lit(0))
     return kinds.join(drifts, "k").withColumn("agreement", share).drop("k")
 

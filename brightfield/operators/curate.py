@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +69,9 @@ def near_duplicate_fold(df: DataFrame, cap: int = 8, limit: float = 0.90, size:
     A row is capped once ``cap`` equal targets were accepted, and is a near duplicate if its character n-grams reach
     the Jaccard limit with an accepted row of its bucket (size of its set by 20, first 12 characters of the target).
     Both depend on what was accepted before. Rows that can meet share the target's first characters, so the fold runs
-    in parallel over these.
+    in parallel over these; an accepted row is found by the first of its n-grams, so a row meets those that can be near.
+    A task holds the accepted rows of one such head: that is the bound, and heads that a large part of all rows share
+    (an empty target among them) are its limit.
     """
     rows = df.select("id", X.normalise(F.col("target")).alias("target_key"), X.normalise(F.col("combined")).alias("combined"))
     rows = rows.withColumn("head", F.substring("target_key", 1, 12))
@@ -76,22 +80,27 @@ def near_duplicate_fold(df: DataFrame, cap: int = 8, limit: float = 0.90, size:
         text = r["combined"]
         sketch = frozenset(text[i : i + size] for i in range(len(text) - size + 1))
         bucket = len(sketch) // 20
+        # near sets share one of the first n - limit n + 1 n-grams of either, in one order of all
+        first = sorted(sketch)[: len(sketch) - math.ceil(limit * len(sketch)) + 1] or [""]
         reason = None
         if state["targets"].get(r["target_key"], 0) >= cap:
             reason = "target_frequency_cap"
         else:
-            # sizes bound the similarity, so most pairs need no intersection
-            for other in state["buckets"].get(bucket, ()):
+            met = {i for g in first for i in state["places"].get((bucket, g), ())}
+            for i in met:
+                other = state["sets"][i]
                 a, b = len(sketch), len(other)
                 if min(a, b) >= limit * max(a, b) and (a + b == 0 or (x := len(sketch & other)) >= limit * (a + b - x)):
                     reason = "near_duplicate"
                     break
         if reason is None:
-            state["buckets"].setdefault(bucket, []).append(sketch)
+            for g in first:
+                state["places"].setdefault((bucket, g), []).append(len(state["sets"]))
+            state["sets"].append(sketch)
             state["targets"][r["target_key"]] = state["targets"].get(r["target_key"], 0) + 1
         return {"id": r["id"], "reason": reason}
 
-    return fold(rows, ["head"], ["id"], lambda: {"targets": {}, "buckets": {}}, step, "id long, reason string")
+    return fold(rows, ["head"], ["id"], lambda: {"targets": {}, "places": {}, "sets": []}, step, "id long, reason string")
 
 
 def frequency_cap(df: DataFrame, key: Column, order: list[Column], cap: int) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 import bisect
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import sample_order
+from ..session import materialise
 from .ordered import row_numbers
 
 
@@ -99,29 +101,77 @@ def two_cap_selection(df: DataFrame, size: int, cell: str, world: str, score: st
     return few.withColumn("all_rows", F.lit(1)).groupBy("all_rows").applyInPandas(lambda pdf: run(pdf.drop(columns="all_rows")), schema)
 
 
-def pack_in_order(df: DataFrame, order: list[str], size: str, most_items: int = 8, most_size: int = 36_000) -> DataFrame:
-    """``df`` with ``batch_no``: rows in order, a new batch where the next row would bring it over either limit.
+def pack_in_order(df: DataFrame, order: list[str], size: str, most_items: int = 8, most_size: int = 36_000, part: int = 10_000) -> DataFrame:
+    """``df`` with ``place_no, batch_no``: rows in order, a new batch where the next row would bring it over either limit.
 
-    Where a batch ends depends on where it began, so one task walks the rows: it reads the sizes alone, streams, and
-    keeps three numbers. An oversize row is a batch by itself.
+    Where a batch ends depends on where it began. But a batch holds ``most_items`` rows at most, so it enters a part of
+    ``part`` rows at one of as many places: each part is walked from all of them at once, a list with a row for each part
+    says which entry it was, and the parts number their rows. An oversize row is a batch by itself.
     """
-    numbered = row_numbers(df, [F.col(c) for c in order], "place_no")
-    keys = [f.name for f in numbered.schema]
-
-    def run(batches):
-        state = [0, 0, 0]  # batch, items, size
+    if part < most_items:
+        raise ValueError("a part must hold a batch")
+    numbered = materialise(row_numbers(df, [F.col(c) for c in order], "place_no"), "places")
+    sizes = numbered.select((F.col("place_no") - 1).alias("at"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s")).withColumn("no", F.floor(F.col("at") / part))
+    # a part also sees the first rows of the next one, where its last batch may end
+    ahead = sizes.filter((F.col("no") > 0) & (F.col("at") % part < most_items)).withColumn("no", F.col("no") - 1)
+    seen = sizes.unionByName(ahead)
+
+    def steps(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, int]:
+        """A part in order, how many rows a batch holds that begins at each of its rows, and how many rows are its own."""
+        pdf = pdf.sort_values("at")
+        s = pdf["s"].to_numpy(np.int64)
+        total = np.concatenate([[0], np.cumsum(s)])
+        place = np.arange(len(s))
+        stop = np.maximum.accumulate(np.searchsorted(total, total[:-1] + most_size, side="right") - 1) if (s >= 0).all() else None
+        if stop is None:
+            raise ValueError("sizes must not be negative")
+        step = np.clip(stop - place, 1, most_items)
+        return pdf, step, int((pdf["at"] < (int(pdf["no"].iloc[0]) + 1) * part).sum())
+
+    def walk(step: np.ndarray, own: int, entry: int) -> list[int]:
+        begins = []
+        while entry < own:
+            begins.append(entry)
+            entry += int(step[entry])
+        return [*begins, entry]
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, step, own = steps(pdf)
+        out = [(int(pdf["no"].iloc[0]), e, len(b := walk(step, own, e)) - 1, b[-1] - own) for e in range(most_items)]
+        return pd.DataFrame(out, columns=["no", "entry", "batches", "leave"])
+
+    def chain(batches):
+        entry = first = 0
         for pdf in batches:
+            pdf = pdf.sort_values(["no", "entry"])
             out = []
-            for n in pdf[size].to_numpy():
-                if state[1] and (state[1] >= most_items or state[2] + n > most_size):
-                    state[:] = [state[0] + 1, 0, 0]
-                state[1] += 1
-                state[2] += int(n)
-                out.append(state[0])
-            yield pdf.assign(batch_no=out)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema) + ", batch_no long"
-    return numbered.select(*keys).coalesce(1).sortWithinPartitions("place_no").mapInPandas(run, schema)
+            for no, group in pdf.groupby("no", sort=False):
+                row = group[group["entry"] == entry]
+                if not len(row):
+                    raise ValueError("a part's rows came apart")
+                out.append((no, entry, first))
+                first, entry = first + int(row["batches"].iloc[0]), int(row["leave"].iloc[0])
+            yield pd.DataFrame(out, columns=["no", "entry", "first"])
+
+    walked = materialise(seen.groupBy("no").applyInPandas(entries, "no long, entry long, batches long, leave long"), "entries")
+    # a row of arrays for each part keeps a part's entries together, in one task for all parts
+    lists = walked.groupBy("no").agg(F.sort_array(F.collect_list(F.struct("entry", "batches", "leave"))).alias("e"))
+
+    def chained(batches):
+        for pdf in batches:
+            rows = [(no, x["entry"], x["batches"], x["leave"]) for no, e in zip(pdf["no"], pdf["e"], strict=True) for x in e]
+            yield pd.DataFrame(rows, columns=["no", "entry", "batches", "leave"])
+
+    begun = materialise(lists.coalesce(1).sortWithinPartitions("no").mapInPandas(lambda it: chain(chained(it)), "no long, entry long, first long"), "begun")
+
+    def number(pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
+        pdf, step, own = steps(pdf)
+        begins = np.zeros(own, np.int64)
+        begins[walk(step, own, int(begin["entry"].iloc[0]))[:-1]] = 1
+        return pd.DataFrame({"at": pdf["at"].to_numpy()[:own], "batch_no": int(begin["first"].iloc[0]) + np.cumsum(begins) - 1})
+
+    found = seen.groupBy("no").cogroup(begun.groupBy("no")).applyInPandas(number, "at long, batch_no long")
+    return numbered.join(found.select((F.col("at") + 1).alias("place_no"), "batch_no"), "place_no")
 
 
 def repeat_rows(df: DataFrame, times: int, id_: str) -> DataFrame:

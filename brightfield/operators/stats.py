@@ -72,10 +72,10 @@ def ngram_l2(df: DataFrame, text: str, side: Column, sizes: tuple[int, ...] = (1
     return sums.select("n", F.sqrt(F.greatest(F.lit(0.0), part("aa", "ta", "ta") - 2 * part("ab", "ta", "tb") + part("bb", "tb", "tb"))).alias("l2"))
 
 
-def _blocks(df: DataFrame, id_: str, vector: str, rows: int) -> DataFrame:
-    """Vectors gathered in blocks by hash of the id: ``blk, ids, vs``."""
+def _blocks(df: DataFrame, id_: str, vector: str, rows: int) -> tuple[DataFrame, int]:
+    """Vectors gathered in blocks by hash of the id (``blk, m``), and the number of blocks."""
     n = max(1, -(-df.count() // rows))
-    return df.withColumn("blk", F.pmod(F.xxhash64(id_), F.lit(n))).groupBy("blk").agg(F.collect_list(F.struct(F.col(id_).alias("i"), F.col(vector).alias("v"))).alias("m"))
+    return df.withColumn("blk", F.pmod(F.xxhash64(id_), F.lit(n))).groupBy("blk").agg(F.collect_list(F.struct(F.col(id_).alias("i"), F.col(vector).alias("v"))).alias("m")), n
 
 
 def kernel_sums(left: DataFrame, right: DataFrame, id_: str, vector: str, bandwidth: float, kernel: str = "rbf", alpha: float = 1.0, rows: int = 2000) -> DataFrame:
@@ -83,10 +83,9 @@ def kernel_sums(left: DataFrame, right: DataFrame, id_: str, vector: str, bandwi
 
     Blocks of rows meet blocks of rows as matrices; a pair of blocks gives one row for each left row, not one a pair.
     """
-    a, b = _blocks(left, id_, vector, rows), _blocks(right, id_, vector, rows)
+    (a, _), (b, n) = _blocks(left, id_, vector, rows), _blocks(right, id_, vector, rows)
     # block numbers are dealt to each other explicitly: each left block goes once to every right block
-    numbers = [r[0] for r in b.select("blk").distinct().collect()]
-    pairs = a.withColumnRenamed("m", "ma").withColumn("right_blk", F.explode(F.array(*map(F.lit, numbers)) if numbers else F.array().cast("array<bigint>")))
+    pairs = a.withColumnRenamed("m", "ma").withColumn("right_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     joined = pairs.join(b.select(F.col("blk").alias("right_blk"), F.col("m").alias("mb")), "right_blk")
 
     def run(batches):
@@ -216,16 +215,22 @@ def bootstrap_summary(samples: DataFrame) -> DataFrame:
 
 
 def isotonic_decreasing(df: DataFrame, by: str, x: Column, hit: Column) -> DataFrame:
-    """``grp, x, n, rate, fitted``: rates by x and their decreasing weighted fit, a row for each distinct x."""
+    """``grp, x, n, rate, fitted``: rates by x and their decreasing weighted fit, a row for each distinct x.
+
+    Neighbours that rise are pooled, in time linear in the distinct x of a group (counted first).
+    """
     counts = df.groupBy(F.col(by).alias("grp"), x.cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("c"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("x")
         hits, n = pdf["c"].to_numpy(float), pdf["n"].to_numpy(float)
-        total, weight = np.concatenate([[0], np.cumsum(hits)]), np.concatenate([[0], np.cumsum(n)])
-        # the fit at i is the least over starts of the greatest over ends of the mean between them
-        mean = (total[None, 1:] - total[:-1, None]) / np.where(weight[None, 1:] > weight[:-1, None], weight[None, 1:] - weight[:-1, None], np.nan)
-        fitted = [np.nanmin(np.nanmax(mean[: i + 1, i:], axis=1)) for i in range(len(n))]
+        pools: list[list[float]] = []  # hits, weight and points of each run of equal fits; their rates fall
+        for h, w in zip(hits.tolist(), n.tolist(), strict=True):
+            pools.append([h, w, 1])
+            while len(pools) > 1 and pools[-2][0] * pools[-1][1] < pools[-1][0] * pools[-2][1]:
+                last = pools.pop()
+                pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
+        fitted = np.repeat([h / w for h, w, _ in pools], [int(k) for _, _, k in pools])
         return pd.DataFrame({"grp": pdf["grp"], "x": pdf["x"], "n": pdf["n"], "rate": hits / n, "fitted": fitted})
 
     return counts.groupBy("grp").applyInPandas(run, "grp string, x double, n long, rate double, fitted double")

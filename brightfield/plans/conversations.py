@@ -125,7 +125,14 @@ def conversation_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", mode.alias("mode"), X.response_violation(F.coalesce("reply", F.lit("")), mode, no, no, no, no).alias("violation"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE s AS (SELECT conv_id, sum(length(text))::BIGINT AS n_chars, row_number() OVER (ORDER BY conv_id) AS i FROM conversations GROUP BY conv_id),
+    walk AS (
+      SELECT conv_id, n_chars, i, 0::BIGINT AS batch_no, 1 AS items, n_chars AS held FROM s WHERE i = 1
+      UNION ALL SELECT s.conv_id, s.n_chars, s.i, CASE WHEN items >= 8 OR held + s.n_chars > 36000 THEN batch_no + 1 ELSE batch_no END,
+        CASE WHEN items >= 8 OR held + s.n_chars > 36000 THEN 1 ELSE items + 1 END, CASE WHEN items >= 8 OR held + s.n_chars > 36000 THEN s.n_chars ELSE held + s.n_chars END
+      FROM walk JOIN s ON s.i = walk.i + 1)
+    SELECT conv_id, n_chars, batch_no FROM walk""")
 def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions in order, at most 8 sessions or 36,000 characters a batch."""
     sizes = Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(F.sum(F.length("text")).cast("long").alias("n_chars"))

@@ -327,9 +327,16 @@ def logistic_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.depth_logistic(labelled(spark, sf_dir), "lang", F.floor(F.col("n_chars") / 500), F.col("quality") == 1)
 
 
-@query()
+@query("""
+    WITH c AS (SELECT lang AS grp, floor(n_chars / 500) AS x, count(*) AS n, sum(quality) AS c FROM documents JOIN labels USING (doc_id) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS sn, sum(c) OVER w AS sc FROM c WINDOW w AS (PARTITION BY grp ORDER BY x)),
+    m AS (SELECT a.grp, a.i AS j, b.i AS k, (b.sc - a.sc + a.c) / (b.sn - a.sn + a.n) AS mean FROM r a JOIN r b ON a.grp = b.grp AND b.i >= a.i),
+    h AS (SELECT r.grp, r.i, j, max(mean) AS high FROM r JOIN m ON r.grp = m.grp AND j <= r.i AND k >= r.i GROUP BY ALL)
+    SELECT r.grp, x, n, round(c / n, 9) AS rate, round(min(high), 9) AS fitted FROM r JOIN h USING (grp, i) GROUP BY r.grp, x, n, c""")
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.isotonic_decreasing(labelled(spark, sf_dir), "lang", F.floor(F.col("n_chars") / 500), F.col("quality") == 1)
+    """Rates of good documents by length, and the nearest ones that fall."""
+    out = stats.isotonic_decreasing(labelled(spark, sf_dir), "lang", F.floor(F.col("n_chars") / 500), F.col("quality") == 1)
+    return out.withColumns({c: F.round(c, 9) for c in ("rate", "fitted")})
 
 
 @query()

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordered import first_per_key
+from ..operators.ordered import first_per_key, row_numbers
+from ..session import materialise
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str], schema: str, on_bad: str = "drop") -> DataFrame:
@@ -34,9 +35,13 @@ def bad_line_count(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """A log as ``line_no, value``: line numbers follow the order in the file (one file is one ordered log)."""
-    raw = spark.read.option("wholetext", True).text(paths)
-    return raw.select(F.posexplode(F.split("value", "\n")).alias("line_no", "value")).filter(F.col("value") != "")
+    """A log as ``line_no, value``: line numbers follow the order in each file, from 0. Files of any size are read in parts."""
+    raw = spark.read.option("lineSep", "\n").text(paths)
+    order = ["file", "block_start", "read_no"]
+    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("read_no"))
+    raw = row_numbers(materialise(raw, "lines"), [F.col(c) for c in order], "line_no")
+    first = raw.groupBy("file").agg(F.min("line_no").alias("first_no"))
+    return raw.join(first, "file").filter(F.col("value") != "").select((F.col("line_no") - F.col("first_no")).cast("int").alias("line_no"), "value")
 
 
 def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -355,3 +355,57 @@ def test_session_gap_is_strict(spark):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-05 00:00:00"), (1, "2024-01-09 00:00:01")]
     df = spark.createDataFrame(rows, "u int, t string").withColumn("ts", F.to_timestamp("t"))
     assert [r.session_no for r in catalog.sessionise(df, ["u"], "ts", 96 * 3600).orderBy("ts").collect()] == [0, 0, 1]
+
+
+def test_pack_in_order_over_parts(spark):
+    rng = random.Random(11)
+    sizes = [rng.choice([0, 1, 5, 20, 40, 90, 150]) for _ in range(300)]
+    want, batch, items, held = [], 0, 0, 0
+    for n in sizes:
+        if items and (items >= 4 or held + n > 100):
+            batch, items, held = batch + 1, 0, 0
+        items, held = items + 1, held + n
+        want.append(batch)
+    df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(sizes)], "k long, n long, note string").repartition(5)
+    for part in (4, 7, 50, 1000):
+        got = select.pack_in_order(df, ["k"], "n", 4, 100, part).orderBy("k").collect()
+        assert [r.batch_no for r in got] == want and got[0].note == "x", part
+    assert select.pack_in_order(df.limit(0), ["k"], "n").collect() == []
+
+
+def test_chunks_of_long_texts(spark):
+    rng = random.Random(12)
+    sentences = ["w" * rng.randrange(1, 30) + "." for _ in range(1500)]
+    want, held = [], ""
+    for x in sentences:
+        if held and len(held) + len(x) > 60:
+            want.append(held)
+            held = x
+        else:
+            held = f"{held} {x}" if held else x
+    want.append(held)
+    df = spark.createDataFrame([(" ".join(sentences),), ("",), (None,)], "t string")
+    assert [r.c for r in df.select(X.chunks(F.col("t"), 60).alias("c")).collect()] == [want, [], None]
+
+
+def test_isotonic_equals_its_definition(spark):
+    rng = random.Random(13)
+    rows = [("g", float(rng.randrange(40)), rng.random() < 0.5) for _ in range(400)]
+    got = stats.isotonic_decreasing(spark.createDataFrame(rows, "g string, x double, hit boolean"), "g", F.col("x"), F.col("hit")).orderBy("x").collect()
+    hits, n = [r.rate * r.n for r in got], [r.n for r in got]
+    mean = lambda j, k: sum(hits[j : k + 1]) / sum(n[j : k + 1])
+    for i, r in enumerate(got):
+        assert r.fitted == pytest.approx(min(max(mean(j, k) for k in range(i, len(got))) for j in range(i + 1)))
+
+
+def test_read_lines_of_several_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.log").write_text("".join(f"{name}{i}\n\n" if i % 3 else f"{name}{i}\r\n" for i in range(50)))
+    want = [(i, x) for name in ("a", "b") for i, x in enumerate((tmp_path / f"{name}.log").read_bytes().decode().split("\n")) if x]
+    assert sorted(map(tuple, tables.read_lines(spark, str(tmp_path / "*.log")).collect())) == sorted(want)
+
+
+def test_split_manifest_counts_repeated_ids(spark):
+    df = spark.createDataFrame([("train", "f", 1), ("train", "f", 1), ("train", "f", 2)], "side string, family string, id long")
+    once, twice = sinks.split_manifest(df.distinct(), "side", "family", "id").first(), sinks.split_manifest(df, "side", "family", "id").first()
+    assert (once.n, twice.n) == (2, 3) and once.id_digest != twice.id_digest
