@@ -189,7 +189,19 @@ def rank_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", F.col("k").cast("long").alias("k"), "win_id", "win_len", "lose_id", "lose_len")
 
 
-@query()
+@query("""
+    WITH r AS (SELECT source, doc_id AS id, c, row_number() OVER (PARTITION BY source, c ORDER BY doc_id) AS k FROM (
+      SELECT source, doc_id, CASE WHEN quality = 1 THEN 'correct' WHEN toxic = 1 THEN 'cap' ELSE 'wrong' END AS c FROM documents JOIN labels USING (doc_id))),
+    n AS (SELECT source, count_if(c = 'correct')::BIGINT AS x, count_if(c = 'cap')::BIGINT AS y, count_if(c = 'wrong')::BIGINT AS z FROM r GROUP BY source),
+    p0 AS (SELECT *, least(x, y) AS a FROM n), p1 AS (SELECT *, least(x - a, z) AS b FROM p0), p2 AS (SELECT *, least(y - a, z - b) AS c FROM p1),
+    plan AS (
+      SELECT source, 0 AS kind, 'correct' AS l, 'cap' AS m, 0 AS fl, 0 AS fm, a AS pairs FROM p2 UNION ALL SELECT source, 1, 'correct', 'wrong', a, 0, b FROM p2
+      UNION ALL SELECT source, 2, 'cap', 'wrong', a, b, c FROM p2 UNION ALL SELECT source, 3, 'correct', 'correct', a + b, a + b, (x - a - b) // 2 FROM p2
+      UNION ALL SELECT source, 4, 'cap', 'cap', a + c, a + c, (y - a - c) // 2 FROM p2 UNION ALL SELECT source, 5, 'wrong', 'wrong', b + c, b + c, (z - b - c) // 2 FROM p2),
+    rows AS (SELECT *, unnest(range(pairs)) AS i FROM plan WHERE pairs > 0)
+    SELECT rows.source, kind, l AS left_class, m AS right_class, u.id AS left_id, v.id AS right_id FROM rows
+      JOIN r u ON u.source = rows.source AND u.c = l AND u.k = fl + CASE WHEN l = m THEN 2 * i + 1 ELSE i + 1 END
+      JOIN r v ON v.source = rows.source AND v.c = m AND v.k = fm + CASE WHEN l = m THEN 2 * i + 2 ELSE i + 1 END""")
 def contrast_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs inside each source: good, toxic and other documents, unlike ones first."""
     rows = labelled(spark, sf_dir).withColumn("outcome", align.outcome(F.col("quality") == 1, F.col("toxic") == 1))
@@ -344,7 +356,16 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.bootstrap_summary(stats.bootstrap(labelled(spark, sf_dir), F.floor(F.col("n_chars") / 500), F.col("quality") == 0))
 
 
-@query()
+@query("""
+    WITH RECURSIVE p AS (SELECT doc_id, lang, source, 1 / (1 + exp(-(ln(n_chars + 1.0::DOUBLE) - 7.3))) AS p FROM documents),
+    s AS (SELECT doc_id, lang, source, round(4 * p * (1 - p), 9) AS boundary, row_number() OVER (ORDER BY round(4 * p * (1 - p), 9) DESC, doc_id) AS i, count(*) OVER () AS n FROM p),
+    walk AS (
+      SELECT 0::BIGINT AS i, []::BIGINT[] AS ids, []::VARCHAR[] AS sources, []::VARCHAR[] AS langs
+      UNION ALL SELECT i, CASE WHEN fits THEN list_append(ids, doc_id) ELSE ids END, CASE WHEN fits THEN list_append(sources, source) ELSE sources END, CASE WHEN fits THEN list_append(langs, lang) ELSE langs END FROM (
+        SELECT walk.i + 1 AS i, doc_id, source, lang, ids, sources, langs, len(ids) < 40 AND len(list_filter(sources, lambda x: x = s.source)) < 4 AND NOT list_contains(ids, doc_id)
+          AND (walk.i >= n OR len(list_filter(langs, lambda x: x = s.lang)) < 14) AS fits FROM walk JOIN s ON s.i = walk.i % n + 1 WHERE walk.i < 2 * n)),
+    picked AS (SELECT unnest(ids) AS doc_id, unnest(range(1, len(ids) + 1)) AS pick_no FROM walk WHERE i = (SELECT max(i) FROM walk))
+    SELECT doc_id, lang, source, boundary, pick_no FROM s JOIN picked USING (doc_id)""")
 def frontier_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty documents of middling length under caps for language and source."""
     p = N.sigmoid(F.ln(F.col("n_chars") + 1.0) - 7.3)

@@ -142,7 +142,16 @@ def causal_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
                          scored["bit_accuracy"].alias("self_accuracy"), graphs.symbolic_hash(F.col("nodes"), F.col("updates"), F.col("query")).alias("task_hash"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE s AS (SELECT doc_id, lang, source, n_chars, floor(n_chars / 2000)::BIGINT AS cell, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i FROM documents),
+    walk AS (
+      SELECT 0::BIGINT AS i, []::BIGINT[] AS ids, []::VARCHAR[] AS langs, []::VARCHAR[] AS sources, []::BIGINT[] AS cells
+      UNION ALL SELECT i, CASE WHEN fits THEN list_append(ids, doc_id) ELSE ids END, CASE WHEN fits THEN list_append(langs, lang) ELSE langs END,
+        CASE WHEN fits THEN list_append(sources, source) ELSE sources END, CASE WHEN fits THEN list_append(cells, cell) ELSE cells END FROM (
+          SELECT s.*, ids, langs, sources, cells, len(ids) < 60 AND len(list_filter(langs, lambda x: x = s.lang)) < 30 AND len(list_filter(sources, lambda x: x = s.source)) < 6
+            AND len(list_filter(cells, lambda x: x = s.cell)) < 12 AS fits FROM walk JOIN s ON s.i = walk.i + 1)),
+    picked AS (SELECT unnest(ids) AS doc_id FROM walk WHERE i = (SELECT max(i) FROM walk))
+    SELECT doc_id, lang, source, n_chars, cell, i AS order_no FROM s JOIN picked USING (doc_id)""")
 def capped_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixty long documents under caps for language, source and length step."""
     rows = Tables(spark, sf_dir).documents.select("doc_id", "lang", "source", "n_chars", F.floor(F.col("n_chars") / 2000).alias("cell"))

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -45,6 +46,41 @@ def test_runs(spark, name):
     assert df.columns and df.collect() is not None
 
 
+def test_near_duplicates_one_by_one(spark, duck):
+    """The registered query against the rule said row by row."""
+    rows = duck.sql("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
+    norm = lambda t: " ".join(t.lower().split())
+    counts, buckets, want = {}, {}, {}
+    for i, text in rows:
+        key, c = norm(text.split("\n")[0]), norm(text)
+        sketch = {c[k : k + 5] for k in range(len(c) - 4)}
+        near = buckets.setdefault((len(sketch) // 20, key[:12]), [])
+        if counts.get(key, 0) >= 8:
+            want[i] = "target_frequency_cap"
+        elif any((len(sketch & o) / len(sketch | o) if sketch | o else 1) >= 0.9 for o in near):
+            want[i] = "near_duplicate"
+        else:
+            want[i] = None
+            near.append(sketch)
+            counts[key] = counts.get(key, 0) + 1
+    assert {r.id: r.reason for r in registry.QUERIES["near_duplicates"](spark, SF).collect()} == want
+    assert "near_duplicate" in want.values()
+
+
+def test_document_chunks_one_by_one(spark, duck):
+    want = []
+    for i, text in duck.sql("SELECT doc_id, text FROM documents").fetchall():
+        done, held = [], ""
+        for x in re.split(r"(?<=[.!?])\s+", text):
+            if held and len(held) + len(x) > 200:
+                done, held = [*done, held.strip(" ")], x
+            else:
+                held = f"{held} {x}" if held else x
+        want += [(i, k, c) for k, c in enumerate([*done, *([held.strip(" ")] if held.strip(" ") else [])])]
+    got = registry.QUERIES["document_chunks"](spark, SF).select("doc_id", "index", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
