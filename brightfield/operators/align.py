@@ -144,6 +144,11 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, place: str, text: s
     return both.filter(some("chosen") & some("rejected") & (normalise(F.col("chosen")) != normalise(F.col("rejected"))))
 
 
+def pointer(source: Column, **columns: Column) -> Column:
+    """What names a row elsewhere: its source and the columns that find it there."""
+    return F.struct(source.alias("source"), *(c.alias(k) for k, c in columns.items()))
+
+
 def first_onsets(positions: DataFrame, trace: list[str], prompt: list[str], at: str) -> DataFrame:
     """The earliest position of each trace, then the first trace of each prompt."""
     first = positions.groupBy(*trace).agg(F.min(at).alias(at))

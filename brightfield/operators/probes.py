@@ -58,3 +58,39 @@ def remaining_seconds(durations: DataFrame, order: Column, remaining: int, defau
     """Remaining items times the mean of the last positive durations."""
     recent = durations.filter("duration > 0").orderBy(order.desc()).limit(last)
     return recent.agg(F.coalesce(F.avg("duration"), F.lit(default)).alias("mean_s")).withColumn("remaining_s", F.col("mean_s") * remaining)
+
+
+#: What a declared probe measures, of those that are over data: lines that match, the last match, a value of the last record, the last point of a metric.
+KINDS = ("line_count", "last_match", "last_record", "metric")
+
+
+def declared(log: DataFrame, config: list[dict]) -> DataFrame:
+    """``id, label, kind, value, unit, style``: the probes of a declaration over one log.
+
+    A probe has ``id``, ``kind`` and what that needs (``regex``, ``path`` or ``key``), and may have ``label``, ``unit``,
+    ``enabled`` and the limits of :func:`style`. A value that is no number has the style green.
+    """
+    out = None
+    for p in config:
+        if p["kind"] not in KINDS:
+            raise ValueError(f"a probe's kind is one of {', '.join(KINDS)}")
+        if not p.get("enabled", True):
+            continue
+        if p["kind"] == "line_count":
+            found = matching_lines(log, p["regex"]).select(F.col("n").cast("string").alias("value"))
+        elif p["kind"] == "last_match":
+            found = last_match(log, p["regex"])
+        elif p["kind"] == "last_record":
+            found = last_record(log, p["path"])
+        else:
+            points = metric_points(log).filter(F.col("key") == p["key"])
+            found = points.agg(F.max_by("value", F.struct("step", "line_no")).cast("string").alias("value"))
+        limits = {k: p.get(k) for k in ("danger_above", "danger_below", "warn_above", "warn_below")}
+        row = found.select(
+            F.lit(p["id"]).alias("id"), F.lit(p.get("label") or p["id"]).alias("label"), F.lit(p["kind"]).alias("kind"), "value", F.lit(p.get("unit", "")).alias("unit"),
+            style(F.col("value").try_cast("double"), **limits).alias("style"),
+        )
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError("no probe is enabled")
+    return out

@@ -41,7 +41,7 @@ class Tables:
         return read_table(self._spark, self._dir, name)
 
 
-from . import checks, conversations, documents, events, extensions, files, runs, traces, vectors  # noqa: E402, F401  they register their queries
+from . import checks, conversations, documents, events, extensions, files, prompting, runs, seams, traces, vectors  # noqa: E402, F401  they register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import json
+import zipfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +57,27 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return files.select(F.from_json(text, schema).alias("r"), F.col("path").alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size_bytes")).select("r.*", "file", "sha256", "size_bytes")
 
 
+def read_matrices(spark: SparkSession, path: str, matrix: str = "X", positions: str = "positions", schema: str = "token_abs long, class string") -> DataFrame:
+    """Captures from NumPy archives, a file each: ``file, no, vector`` and the columns of ``schema`` from the archive's JSON
+    list of positions. Files that cannot be read, or whose matrix and list differ in length, are skipped."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                        rows, listed = np.asarray(z[matrix], np.float64), json.loads(str(z[positions]))
+                    if rows.ndim != 2 or len(rows) != len(listed):
+                        continue
+                except (OSError, ValueError, KeyError, zipfile.BadZipFile, EOFError):
+                    continue
+                yield pd.DataFrame({"file": file, "no": np.arange(len(rows)), "vector": list(rows), **{n: pd.Series([x.get(n) for x in listed], dtype=object) for n in names}})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, f"file string, no long, vector array<double>, {schema}")
+
+
 def corpus_digest(files: DataFrame) -> DataFrame:
     """Number of files, their bytes, and the digest of their digests in order of name."""
     return files.agg(

@@ -1,10 +1,15 @@
 """Spans, reviews, checkers and the grounded fold."""
 
+import json
 import random
 
+import numpy as np
 import pytest
+from brightfield.functions import json as J
 from brightfield.functions import spans as S
+from brightfield.operators import criteria
 from brightfield.operators import review as R
+from brightfield.sources import specs, tables
 from pyspark.sql import functions as F
 
 
@@ -91,3 +96,34 @@ def test_advantages(spark):
         nxt = rows[i][2] + 0.9 * v2 - rows[i][3] + 0.9 * 0.8 * nxt
         want.append(nxt)
     assert [s.order for s in got] == [0, 1, 2] and [s.advantage for s in got] == pytest.approx(want[::-1])
+
+
+def test_criteria_prompt_and_errors():
+    made = criteria.criteria_set({"name": "n", "description": "d", "min_mean_score": 2, "criteria": [{"id": "a", "description": "x", "rubric": {"1": "y"}}]})
+    assert made.prompt() == 'Criteria set: n\nd\n{"description": "x", "evidence_required": true, "id": "a", "rubric": {"1": "y"}, "scope": "session", "severity": "major"}'
+    assert made.thresholds == {"max_critical_failures": 0, "min_mean_score": 2.0, "min_session_pass_rate": 1.0, "max_first_failure_rate": None}
+    for bad in ([{"id": "a"}], [{"id": "a", "description": "x"}] * 2):
+        with pytest.raises(ValueError):
+            criteria.criteria_set(bad)
+
+
+def test_read_matrices_and_specs(spark, tmp_path):
+    for k in range(3):
+        listed = json.dumps([{"token_abs": i, "class": "c"} for i in range(4)])
+        np.savez(tmp_path / f"{k}.npz", X=np.arange(8.0).reshape(4, 2) + k, positions=listed if k < 2 else "[]")
+    (tmp_path / "bad.npz").write_bytes(b"PK no archive")
+    got = tables.read_matrices(spark, str(tmp_path / "*.npz")).collect()
+    assert len(got) == 8 and sorted((r.no, r.token_abs, tuple(r.vector)) for r in got if r.file.endswith("1.npz"))[1] == (1, 1, (3.0, 4.0))
+    (tmp_path / "s.yaml").write_text("stage: x\nlist: [1, 2]\n")
+    (tmp_path / "s.json").write_text('{"no": "stage"}')
+    assert specs.read_spec(spark, str(tmp_path / "s.yaml")) == {"stage": "x", "list": [1, 2]}
+    for bad in ("s.json", "0.npz"):
+        with pytest.raises(Exception):  # noqa: B017
+            specs.read_spec(spark, str(tmp_path / bad))
+
+
+def test_safe_numbers_and_times(spark):
+    df = spark.createDataFrame([(1.5, "2024-01-02T03:04:05Z"), (float("nan"), "2024-01-02T03:04:05+02:00"), (float("inf"), "2024-01-02"), (None, "soon")], "v double, t string")
+    got = df.select(J.safe_number(F.col("v")).alias("v"), J.timestamp(F.col("t")).cast("string").alias("t")).collect()
+    assert [r.v for r in got] == [1.5, None, None, None]
+    assert [r.t for r in got] == ["2024-01-02 03:04:05", "2024-01-02 01:04:05", "2024-01-02 00:00:00", None]
