@@ -84,7 +84,7 @@ class Sums:
 
     def __call__(self, table: np.ndarray) -> np.ndarray:
         """One row a group that occurs, in order; ``table`` has a column for each kind of value."""
-        return np.stack([np.add.reduceat(np.take(np.ascontiguousarray(table[:, k]), self.order), self.first) for k in range(table.shape[1])], 1)
+        return np.stack([np.add.reduceat(np.ascontiguousarray(table[:, k])[self.order], self.first) for k in range(table.shape[1])], 1)
 
 
 class Chains:
@@ -170,7 +170,7 @@ def train(texts: list[str], langs: list[str], window: int = 64, rounds: int = 40
         score = of_word(model.weights.astype(np.float32)) * scale + lex
         p, pairs = chains.marginals(score.astype(np.float32)[inverse], model.transitions.astype(np.float32), True)
         up = np.zeros_like(model.weights)
-        up[of_row.groups] = of_row((seen - of_place(p.astype(np.float64))) * scale) / n
+        up[of_row.groups] = of_row(((seen - of_place(p.astype(np.float64))) * scale).astype(np.float32)) / n
         for param, grad, m, v in ((model.weights, up, state[0], state[1]), (model.transitions, (seen_pairs - pairs) / n, state[2], state[3])):
             grad = grad - penalty * param * (1 / 50 if param is model.weights else 1)
             m += 0.1 * (grad - m)
