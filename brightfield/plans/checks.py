@@ -330,3 +330,26 @@ def pool_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     sha = lambda df, pool: df.select(F.sha2("text", 256).alias("text_sha"), F.lit(pool).alias("pool"))
     return tables.pending(sha(t.documents, "documents").unionByName(sha(t.benchmark, "benchmark")), sha(t.conversations, "used"), ["text_sha"])
+
+
+@query("""
+    WITH l AS (SELECT doc_id, list_filter([trim(x) FOR x IN string_split(CASE WHEN length(text) > 3000 THEN right(text, 3000) ELSE text END, chr(10))], lambda x: x <> '') AS ls FROM documents),
+    n AS (SELECT doc_id, ls, list_filter(ls, lambda x: length(x) < 80) AS short FROM l),
+    c AS (SELECT doc_id, max(k) AS most FROM (SELECT doc_id, x, count(*) AS k FROM (SELECT doc_id, unnest(short) AS x FROM n) GROUP BY doc_id, x) GROUP BY doc_id)
+    SELECT doc_id, len(ls) >= 8 AND coalesce(most, 0) >= 6 AS looped, len(ls)::INT AS n_lines FROM n LEFT JOIN c USING (doc_id)""")
+def looped_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether one short line stands six times or more among the lines of a text's end."""
+    tail = F.when(F.length("text") > 3000, F.substring("text", -3000, 3000)).otherwise(F.col("text"))
+    lines = F.size(F.filter(F.split(tail, "\n"), lambda x: F.trim(x) != ""))
+    return Tables(spark, sf_dir).documents.select("doc_id", X.looped_tail(F.col("text")).alias("looped"), lines.alias("n_lines"))
+
+
+@query("""
+    SELECT conv_id, trim(regexp_replace(regexp_replace(regexp_replace(reply, '<think>.*?</think>', '', 'gs'), '^\\s*(?:assistant|owner|taylor|business representative)\\s*:\\s*', '', 'i'), '\\s+', ' ', 'g')) AS target,
+      CASE WHEN length(reply) <= 60 THEN reply ELSE regexp_replace(substr(reply, 1, 60), '\\s\\S*$', '') END AS excerpt
+    FROM (SELECT conv_id, 'Owner: <think>hm</think> ' || arg_max(text, turn) AS reply FROM conversations WHERE role = 'assistant' GROUP BY conv_id)""")
+def reply_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies without reasoning and speaker, and their beginning cut at a word."""
+    turns = Tables(spark, sf_dir).conversations.filter("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    reply = F.concat(F.lit("Owner: <think>hm</think> "), F.col("text"))
+    return turns.select("conv_id", X.clean_target(reply).alias("target"), X.excerpt(reply, 60).alias("excerpt"))
