@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -29,8 +30,14 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Folders of the cuts that are still there, in order of writing.
-_written: list[str] = []
+class _Written(threading.local):
+    """Folders of the cuts of this thread that are still there: queries may run side by side in threads of one driver."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 def cut(df: DataFrame, name: str, few: bool = False) -> DataFrame:
@@ -41,7 +48,7 @@ def cut(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/cut-{name}-{uuid.uuid4().hex}"
     (df.hint("rebalance") if few else df).write.parquet(path)
-    _written.append(path)
+    _written.paths.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
@@ -50,8 +57,8 @@ def cut(df: DataFrame, name: str, few: bool = False) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    if path in _written:
-        _written.remove(path)
+    if path in _written.paths:
+        _written.paths.remove(path)
 
 
 def discard(*cuts: DataFrame) -> None:
@@ -62,9 +69,9 @@ def discard(*cuts: DataFrame) -> None:
 
 def cut_whole(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """The written result of ``make()``, without the cuts that it made on the way."""
-    before = set(_written)
+    before = set(_written.paths)
     out = cut(make(), name)
-    for path in [x for x in _written if x not in before and x != out._cut_path]:
+    for path in [x for x in _written.paths if x not in before and x != out._cut_path]:
         _delete(out.sparkSession, path)
     return out
 

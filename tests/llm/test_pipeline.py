@@ -60,6 +60,6 @@ def test_clashing_names(spark, docs):
 
 def test_run_deletes_what_it_no_longer_needs(spark, tmp_path, docs):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    before = set(common._written)
+    before = set(common._written.paths)
     packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert packed.count() > 0 and set(common._written) - before == {packed._cut_path}
+    assert packed.count() > 0 and set(common._written.paths) - before == {packed._cut_path}
