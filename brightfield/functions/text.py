@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .numeric import round_exact
 
 #: A word: letters, digits, underscore and apostrophe of any script.
 WORD = r"[\p{L}\p{N}_']+"
@@ -98,9 +99,9 @@ def chunk_statistics(text: Column) -> dict[str, Column]:
         "word_count": F.size(words),
         "sentence_count": F.size(F.filter(F.split(text, "[.!?]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")),
         "unique_words": unique,
-        "avg_word_length": F.when(F.size(lengths) > 0, F.bround(F.aggregate(lengths, F.lit(0), lambda a, n: a + n) / F.size(lengths), 2)).otherwise(0.0),
+        "avg_word_length": F.when(F.size(lengths) > 0, round_exact(F.aggregate(lengths, F.lit(0), lambda a, n: a + n) / F.size(lengths), 2)).otherwise(0.0),
         "character_count": F.length(text),
-        "vocabulary_richness": F.when(F.size(words) > 0, F.bround(unique / F.size(words), 4)).otherwise(0.0),
+        "vocabulary_richness": F.when(F.size(words) > 0, round_exact(unique / F.size(words), 4)).otherwise(0.0),
     }
 
 

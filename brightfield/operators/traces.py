@@ -141,7 +141,7 @@ def path_features(df: DataFrame, by: str, order: str, vector: str, lag: int = 50
     """``grp, recur_density, tortuosity`` of each path of vectors: share of states like one at least ``lag`` earlier, and path over chord."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = np.array([np.asarray(v, np.float32) for v in pdf.sort_values("ord")["v"]])
+        h = np.array([np.asarray(v, np.float64) for v in pdf.sort_values("ord")["v"]])
         unit = h / (np.linalg.norm(h, axis=1, keepdims=True) + 1e-8)
         at = np.arange(lag + 1, len(h))
         hits = 0

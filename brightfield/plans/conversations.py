@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import select, validate
 from .registry import Tables, query
@@ -12,6 +13,12 @@ from .registry import Tables, query
 RULES = (validate.Rule(r"[0-9]", "A reply holds a digit."), validate.Rule(r"(?i)\bthe the\b", "A reply doubles a word.", "minor", "style"))
 
 
+def _hit(column: str, pattern: str) -> str:
+    """SQL of whether a pattern matches: what may not stand beside a match is matched with it, as DuckDB knows no look-around."""
+    bare = pattern.replace(r"(?<!\d)", "(?:^|[^0-9])").replace(r"(?!\d)", "(?:[^0-9]|$)").replace("'", "''")
+    return f"regexp_matches({column}, '{bare}')"
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).conversations.select(F.col("conv_id").alias("session_id"), "turn", "role", "text")
 
@@ -111,7 +118,20 @@ def session_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", bucket.alias("bucket"), "n_chars")
 
 
-@query()
+@query(rf"""
+    WITH u AS (
+      SELECT conv_id, list(text ORDER BY turn, text) FILTER (role = 'user') AS said, coalesce(arg_max_null(text, turn) FILTER (role = 'assistant'), '') AS reply FROM conversations GROUP BY conv_id),
+    s AS (SELECT conv_id, reply, coalesce(said[-1], '') AS latest, coalesce(array_to_string(said[:-2], ' '), '') AS prior FROM u),
+    f AS (
+      SELECT *, {_hit("latest", P.BUSINESS_SIGNAL)} OR {_hit("latest", P.TIME_SIGNAL)} AS business, {_hit("prior", P.BUSINESS_SIGNAL)} OR {_hit("prior", P.TIME_SIGNAL)} AS history,
+        {_hit("latest", P.GENERAL_SIGNAL)} AS general, {_hit("latest", P.CASUAL_SIGNAL)} AS casual FROM s),
+    m AS (
+      SELECT *, CASE WHEN casual AND NOT business AND NOT general THEN 'casual_sms' WHEN business THEN 'business_reply' WHEN general THEN 'general_question' WHEN history THEN 'business_reply'
+        WHEN len(list_filter(regexp_split_to_array(latest, '\s+'), lambda x: x <> '')) >= 4 THEN 'casual_sms' ELSE 'business_reply' END AS mode FROM f)
+    SELECT conv_id, mode, CASE WHEN {_hit("reply", P.IDENTITY_CLAIM)} THEN 'identity_claim' WHEN {" OR ".join(_hit("reply", p) for _, p in P.PERSONAL_DATA)} THEN 'privacy'
+      WHEN {_hit("reply", P.UNSUPPORTED_ACTION)} THEN 'unsupported_action' WHEN {_hit("reply", P.EXTERNAL_ACTION)} THEN 'unsupported_external_action'
+      WHEN mode <> 'business_reply' AND {_hit("reply", P.SERVICE_LEAKAGE)} THEN 'service_leakage' WHEN mode = 'business_reply' AND {_hit("reply", P.PRICED_TOTAL)} THEN 'invented_amount'
+      WHEN mode = 'business_reply' AND {_hit("reply", P.AMOUNT)} AND contains(reply, '$') THEN 'invented_amount' END AS violation FROM m""")
 def conversation_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode of each conversation from its user turns, and the first rule its last reply breaks."""
     rows = Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(

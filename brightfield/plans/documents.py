@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions import numeric as N
+from ..functions import patterns as P
 from ..functions import text as X
 from ..operators import align, curate, select, stats
 from ..operators.ordered import first_per_key
@@ -15,6 +16,16 @@ from .registry import Tables, query
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
 _BARE = r"""'!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~'"""
 
+_KINDS = {kind: pattern.replace("'", "''") for kind, pattern in P.PERSONAL_DATA}
+
+
+def _bounded(value: str, pattern: str, tag: str) -> str:
+    """SQL that puts a tag for what stands between no digits. DuckDB knows no look-around, so the neighbours are matched too and put back: twice, as two matches may share one."""
+    bare = pattern.replace(r"(?<!\d)", "").replace(r"(?!\d)", "")
+    for _ in range(2):
+        value = f"regexp_replace({value}, '(^|[^0-9])(?:{bare})([^0-9]|$)', '\\1{tag}\\2', 'g')"
+    return value
+
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
@@ -24,7 +35,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
     SELECT doc_id, len(w) AS word_count, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g')) <> '')) AS sentence_count,
       len(list_distinct(list_transform(w, lambda x: trim(lower(x), {_BARE})))) AS unique_words, length(text) AS character_count,
-      CASE WHEN len(w) > 0 THEN round_even(len(list_distinct(list_transform(w, lambda x: trim(lower(x), {_BARE})))) / len(w), 4) ELSE 0 END AS vocabulary_richness
+      CASE WHEN len(w) > 0 THEN printf('%.4f', len(list_distinct(list_transform(w, lambda x: trim(lower(x), {_BARE})))) / len(w))::DOUBLE ELSE 0 END AS vocabulary_richness
     FROM (SELECT doc_id, text, {_WORDS} AS w FROM documents)""")
 def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word, sentence and vocabulary counts of each document."""
@@ -32,7 +43,19 @@ def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).documents.select("doc_id", *(s[k].alias(k) for k in ("word_count", "sentence_count", "unique_words", "character_count", "vocabulary_richness")))
 
 
-@query()
+@query(rf"""
+    WITH RECURSIVE p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+    s AS (SELECT doc_id, unnest(s) AS s, unnest(range(1, len(s) + 1)) AS i FROM p),
+    walk AS (
+      SELECT doc_id, i, 0 AS chunk, s AS open FROM s WHERE i = 1
+      UNION ALL SELECT s.doc_id, s.i, CASE WHEN open <> '' AND length(open) + length(s) > 200 THEN chunk + 1 ELSE chunk END,
+        CASE WHEN open = '' OR length(open) + length(s) > 200 THEN s ELSE open || ' ' || s END FROM walk JOIN s ON s.doc_id = walk.doc_id AND s.i = walk.i + 1),
+    c AS (SELECT doc_id, chunk, trim(arg_max(open, i)) AS text, max(chunk) OVER (PARTITION BY doc_id) AS last FROM walk GROUP BY doc_id, chunk),
+    w AS (SELECT doc_id, chunk, text, {_WORDS} AS w FROM c WHERE chunk < last OR text <> ''),
+    b AS (SELECT *, list_transform(w, lambda x: trim(lower(x), {_BARE})) AS bare, list_filter([length(trim(x, {_BARE})) FOR x IN w], lambda n: n > 0) AS lengths FROM w)
+    SELECT doc_id, chunk AS index, text, len(w) AS word_count, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g')) <> '')) AS sentence_count,
+      len(list_distinct(bare)) AS unique_words, CASE WHEN len(lengths) > 0 THEN printf('%.2f', list_sum(lengths) / len(lengths))::DOUBLE ELSE 0 END AS avg_word_length,
+      length(text) AS character_count, CASE WHEN len(w) > 0 THEN printf('%.4f', len(list_distinct(bare)) / len(w))::DOUBLE ELSE 0 END AS vocabulary_richness FROM b""")
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of about 200 characters and their statistics."""
     rows = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("index", "text"))
@@ -308,7 +331,24 @@ def marker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(rf"""
+    WITH d AS (SELECT doc_id, text, trim(string_split(text, '</think>')[-1]) AS shown, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS folded FROM documents),
+    f AS (
+      SELECT doc_id, text, regexp_replace(regexp_replace(text, '(?i)(?:https?://|www\.)\S+', '[URL]', 'g'), '{_KINDS["email"]}', '[EMAIL]', 'g') AS r,
+        trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?is)<think>.*?</think>', '', 'g'), '(?i)^\s*(?:assistant|owner|taylor|business representative)\s*:\s*', ''), '\s+', ' ', 'g')) AS target,
+        CASE WHEN regexp_matches(rtrim(text), '[.!?]["'')\]]*\n?$') THEN rtrim(text) WHEN length(regexp_extract(text, '(?s)^(.*[.!?]["'')\]]*)', 1)) >= 200 THEN regexp_extract(text, '(?s)^(.*[.!?]["'')\]]*)', 1) END AS whole,
+        CASE WHEN length(text) <= 1200 THEN text ELSE regexp_replace(substr(text, 1, 1200), '\s\S*\n?$', '') END AS excerpt,
+        coalesce(regexp_extract_all(shown, '(?im)^\s*\**answer\**\s*:\s*(.+?)\s*$', 1)[-1], shown) AS visible,
+        list_filter(string_split(folded, ' '), lambda x: x <> '') AS w,
+        list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM d),
+    l AS (SELECT doc_id, list_filter([trim(x) FOR x IN string_split(CASE WHEN length(text) > 3000 THEN right(text, 3000) ELSE text END, chr(10))], lambda x: x <> '') AS ls FROM documents),
+    c AS (SELECT doc_id, max(k) AS most FROM (SELECT doc_id, x, count(*) AS k FROM (SELECT doc_id, unnest(list_filter(ls, lambda x: length(x) < 80)) AS x FROM l) GROUP BY ALL) GROUP BY doc_id),
+    o AS (SELECT *, [lower(regexp_extract(x, '([\p{{L}}\p{{N}}_'']+)', 1)) FOR x IN s] AS firsts FROM f)
+    SELECT doc_id, substr(sha256({_bounded(_bounded("r", _KINDS["phone"], "[PHONE]"), _KINDS["zip"], "[ZIP]")}), 1, 16) AS redacted, substr(sha256(target), 1, 16) AS target,
+      substr(sha256(whole), 1, 16) AS whole_sentences, substr(sha256(excerpt), 1, 16) AS excerpt, substr(sha256(visible), 1, 16) AS visible,
+      len(w) >= 4 AND len(list_filter(range(1, len(w) - 1), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2])) > 0 AS triple, len(ls) >= 8 AND coalesce(most, 0) >= 6 AS looped,
+      len(list_filter(range(1, len(firsts) - 1), lambda i: firsts[i] <> '' AND firsts[i] = firsts[i + 1] AND firsts[i] = firsts[i + 2])) > 0 AS openings
+    FROM o JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)""")
 def text_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redacted, cleaned and cut forms of each document, by digest."""
     t = F.col("text")

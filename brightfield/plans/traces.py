@@ -11,6 +11,11 @@ from .documents import labelled
 from .registry import Tables, query
 
 
+def _marker(name: str) -> str:
+    """Pattern of a marker as SQL text."""
+    return "'" + traces.MARKERS[name].replace("'", "''") + "'"
+
+
 @query(r"""
     WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
     g AS (SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 8), ' ') AS g FROM (SELECT doc_id, w, unnest(range(len(w) - 8)) AS i FROM w WHERE len(w) >= 220)),
@@ -22,14 +27,30 @@ def trace_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).documents.select("doc_id", F.round(traces.recurrence(F.col("text")), 9).alias("recurrence"))
 
 
-@query()
+@query("""
+    WITH d AS (SELECT doc_id, text, right(text, 200000) AS t, least(length(text), 200000) AS n FROM documents),
+    p AS (SELECT doc_id, text, t, n, unnest(range(40, n // 3 + 1)) AS p FROM d),
+    three AS (SELECT * FROM p WHERE right(t, p) = substr(t, n - 2 * p + 1, p) AND right(t, 2 * p) = substr(t, n - 3 * p + 1, 2 * p)),
+    k AS (SELECT doc_id, text, p, max(k) AS k FROM (SELECT *, unnest(range(3, n // p + 1)) AS k FROM three) WHERE right(t, (k - 1) * p) = substr(t, n - k * p + 1, (k - 1) * p) GROUP BY ALL),
+    best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k * p DESC, p) AS r FROM k)
+    SELECT doc_id, p AS period_chars, k AS repeats, length(text) - k * p AS onset_char, k * p / length(text) AS post_onset_frac FROM best WHERE r = 1""")
 def terminal_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that end in a repeated unit."""
     rows = Tables(spark, sf_dir).documents.select("doc_id", traces.terminal_loop(F.col("text")).alias("loop"))
     return rows.filter("loop.period_chars IS NOT NULL").select("doc_id", "loop.*")
 
 
-@query()
+@query(rf"""
+    WITH d AS (SELECT doc_id, split_part(text, '</think>', 1) AS t FROM documents),
+    parts AS (SELECT doc_id, t, regexp_split_to_array(t, {_marker("verifies")}) AS apart, regexp_extract_all(t, {_marker("verifies")}) AS found FROM d),
+    said AS (
+      SELECT doc_id, k, lower(substr(t, 1 + coalesce(list_sum([length(x) FOR x IN apart[:k]]), 0)::BIGINT + coalesce(list_sum([length(x) FOR x IN found[:k - 1]]), 0)::BIGINT, 400)) AS said
+      FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM parts)),
+    w AS (SELECT doc_id, k, list_filter(regexp_split_to_array(said, '\s+'), lambda x: x <> '') AS w FROM said),
+    g AS (SELECT doc_id, k, list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) AS g FROM w),
+    again AS (SELECT DISTINCT a.doc_id, a.k FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.k < a.k WHERE len(a.g) > 0 AND len(b.g) > 0 AND 3 * len(list_intersect(a.g, b.g)) >= len(a.g) + len(b.g)),
+    share AS (SELECT doc_id, count(again.k) / count(*) AS verify_dup FROM g LEFT JOIN again USING (doc_id, k) GROUP BY doc_id)
+    SELECT doc_id, {", ".join(f"len(regexp_extract_all(t, {_marker(name)})) AS {name}" for name in traces.MARKERS)}, coalesce(verify_dup, 0) AS verify_dup FROM d LEFT JOIN share USING (doc_id)""")
 def branch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return Tables(spark, sf_dir).documents.select("doc_id", *(c.alias(k) for k, c in traces.marker_counts(t).items()), traces.repeated_verification(t).alias("verify_dup"))
@@ -58,10 +79,18 @@ def series_thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_type", *(F.round(c, 6).alias(c) for c in ("early", "mid", "late", "trend")))
 
 
-@query()
+@query("""
+    WITH r AS (SELECT label::VARCHAR AS grp, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding::DOUBLE[] AS v FROM embeddings),
+    u AS (SELECT *, sqrt(list_dot_product(v, v)) + 1e-8 AS norm FROM r),
+    like_one AS (SELECT DISTINCT a.grp, a.i FROM u a JOIN u b ON a.grp = b.grp AND b.i < a.i - 5 WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) > 0.3),
+    step AS (SELECT a.grp, sum(list_distance(a.v, b.v)) AS path FROM r a JOIN r b ON a.grp = b.grp AND b.i = a.i + 1 GROUP BY a.grp),
+    ends AS (SELECT grp, count(*) AS n, list_distance(arg_min(v, i), arg_max(v, i)) AS chord FROM r GROUP BY grp),
+    hits AS (SELECT grp, count(*) AS hits FROM like_one GROUP BY grp)
+    SELECT grp, round(coalesce(hits, 0) / greatest(1, n - 6), 9) AS recur_density, round(coalesce(path, 0) / (chord + 1e-8), 6) AS tortuosity FROM ends LEFT JOIN step USING (grp) LEFT JOIN hits USING (grp)""")
 def state_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recurrence and tortuosity of each class's vectors taken as a path."""
-    return traces.path_features(Tables(spark, sf_dir).embeddings, "label", "vec_id", "embedding", lag=5, similar=0.3)
+    paths = traces.path_features(Tables(spark, sf_dir).embeddings, "label", "vec_id", "embedding", lag=5, similar=0.3)
+    return paths.select("grp", F.round("recur_density", 9).alias("recur_density"), F.round("tortuosity", 6).alias("tortuosity"))
 
 
 @query("""

@@ -409,3 +409,11 @@ def test_split_manifest_counts_repeated_ids(spark):
     df = spark.createDataFrame([("train", "f", 1), ("train", "f", 1), ("train", "f", 2)], "side string, family string, id long")
     once, twice = sinks.split_manifest(df.distinct(), "side", "family", "id").first(), sinks.split_manifest(df, "side", "family", "id").first()
     assert (once.n, twice.n) == (2, 3) and once.id_digest != twice.id_digest
+
+
+def test_round_exact(spark):
+    from brightfield.functions.numeric import round_exact
+
+    values = [i / n for n in (7, 8, 40, 64, 200) for i in range(0, 3 * n)] + [0.0, 2.675, 4.475, 4.525, 4.975, 0.125, 0.375, 1e6 + 0.005]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", round_exact(F.col("x"), 2).alias("two"), round_exact(F.col("x"), 4).alias("four")).collect()
+    assert [(r.two, r.four) for r in rows] == [(round(r.x, 2), round(r.x, 4)) for r in rows]
