@@ -41,7 +41,7 @@ def terminal_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""
-    WITH d AS (SELECT doc_id, split_part(text, '</think>', 1) AS t FROM documents),
+    WITH d AS (SELECT doc_id, text, split_part(text, '</think>', 1) AS t FROM documents),
     parts AS (SELECT doc_id, t, regexp_split_to_array(t, {_marker("verifies")}) AS apart, regexp_extract_all(t, {_marker("verifies")}) AS found FROM d),
     said AS (
       SELECT doc_id, k, lower(substr(t, 1 + coalesce(list_sum([length(x) FOR x IN apart[:k]]), 0)::BIGINT + coalesce(list_sum([length(x) FOR x IN found[:k - 1]]), 0)::BIGINT, 400)) AS said
@@ -49,11 +49,26 @@ def terminal_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     w AS (SELECT doc_id, k, list_filter(regexp_split_to_array(said, '\s+'), lambda x: x <> '') AS w FROM said),
     g AS (SELECT doc_id, k, list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) AS g FROM w),
     again AS (SELECT DISTINCT a.doc_id, a.k FROM g a JOIN g b ON a.doc_id = b.doc_id AND b.k < a.k WHERE len(a.g) > 0 AND len(b.g) > 0 AND 3 * len(list_intersect(a.g, b.g)) >= len(a.g) + len(b.g)),
-    share AS (SELECT doc_id, count(again.k) / count(*) AS verify_dup FROM g LEFT JOIN again USING (doc_id, k) GROUP BY doc_id)
-    SELECT doc_id, {", ".join(f"len(regexp_extract_all(t, {_marker(name)})) AS {name}" for name in traces.MARKERS)}, coalesce(verify_dup, 0) AS verify_dup FROM d LEFT JOIN share USING (doc_id)""")
+    share AS (SELECT doc_id, count(again.k) / count(*) AS verify_dup FROM g LEFT JOIN again USING (doc_id, k) GROUP BY doc_id),
+    e AS (SELECT doc_id, t, regexp_split_to_array(t, {_marker("elims")}) AS apart, regexp_extract_all(t, {_marker("elims")}) AS found FROM d),
+    el AS (
+      SELECT doc_id, t, (coalesce(list_sum([length(x) FOR x IN apart[:k]]), 0) + coalesce(list_sum([length(x) FOR x IN found[:k - 1]]), 0))::BIGINT AS "at"
+      FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM e)),
+    fr AS (
+      SELECT doc_id, substr(trim(regexp_replace(lower(substr(t, greatest(0, "at" - 60) + 1, "at" + 60 - greatest(0, "at" - 60))), '\s+', ' ', 'g')), 1, 80) AS frag,
+        trim(regexp_replace(lower(substr(t, "at" + 401)), '\s+', ' ', 'g')) AS later FROM el),
+    prune AS (SELECT doc_id, count(*) FILTER (frag <> '' AND NOT contains(later, frag)) / count(*) AS prune_durable FROM fr GROUP BY doc_id),
+    cl AS (SELECT doc_id, text, t, regexp_split_to_array(t, {_marker("closures")}) AS apart, regexp_extract_all(t, {_marker("closures")}) AS found FROM d),
+    closes AS (SELECT doc_id, length(text) - (length(t) - length(apart[-1]) - length(found[-1])) < 4000 AS escaped FROM cl WHERE len(found) > 0)
+    SELECT doc_id, {", ".join(f"len(regexp_extract_all(t, {_marker(name)})) AS {name}" for name in traces.MARKERS)}, coalesce(verify_dup, 0) AS verify_dup, coalesce(prune_durable, 0) AS prune_durable, coalesce(escaped, false) AS escaped
+    FROM d LEFT JOIN share USING (doc_id) LEFT JOIN prune USING (doc_id) LEFT JOIN closes USING (doc_id)""")
 def branch_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a trace's markers, and what becomes of its verifications, eliminations and closing markers."""
     t = F.col("text")
-    return Tables(spark, sf_dir).documents.select("doc_id", *(c.alias(k) for k, c in traces.marker_counts(t).items()), traces.repeated_verification(t).alias("verify_dup"))
+    rows = Tables(spark, sf_dir).documents.select(
+        "doc_id", *(c.alias(k) for k, c in traces.marker_counts(t).items()), traces.repeated_verification(t).alias("verify_dup"), traces.closing_places(t).alias("places")
+    )
+    return rows.select("*", "places.*").drop("places")
 
 
 @query("""
