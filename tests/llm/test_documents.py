@@ -1,8 +1,11 @@
 """Operators over documents against brute-force versions."""
 
+import glob
 import hashlib
 import math
+import os
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -386,6 +389,21 @@ def test_jaccard_many_near_copies(spark, options):
     assert {i: r.component_id for i, r in got.items()} == links(sets)
 
 
+def test_cut_frees_shuffles(spark):
+    from brightfield.llm import common
+
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    files = lambda: {x for d in folders for x in glob.glob(f"{d}/*/shuffle_*.data")}
+    before, setting = files(), spark.conf.get(common.FREE_SHUFFLES, None)
+    out = common.cut(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "freed")
+    deadline = time.time() + 10  # they are deleted on the side
+    while files() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 7
+    assert spark.conf.get(common.FREE_SHUFFLES, None) == setting
+
+
 def test_components(spark):
     import random
 
