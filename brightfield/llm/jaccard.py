@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, components, cut, cut_whole, mix64, near_filter, release_memory, small_batches
+from .common import Words, components, cut, cut_whole, discard, mix64, near_filter, release_memory, small_batches
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 2_000_000  # characters whose n-grams are hashed at a time
@@ -191,11 +191,16 @@ def _product(percent: int, most: int):
     return run
 
 
+#: Columns of what _long_column returns.
+LONG = "a long, b long, g long, i int, j int, block int, n int, pos int"
+
+
 def _long_column(percent: int):
     """One block pair of a long column: pairs that their sizes and places allow, or all its rows as dense if those are many.
 
     An n-gram at place p of a set of n leaves n - p that can still be common; the first common n-gram of two sets that
-    are similar enough leaves enough in either.
+    are similar enough leaves enough in either. Rows may bring a ``root``, 0 where it is not known: sets of one root are
+    known to be connected and make no pair.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -205,16 +210,30 @@ def _long_column(percent: int):
         need = -(-percent * (n[:, None] + n) // (100 + percent))
         fits = (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)) & (np.minimum(rest[:, None], rest) >= need)
         fits &= (k[:, None] < k) if i == j else (block[:, None] == i) & (block == j)
+        if "root" in pdf:
+            root, known = pdf["root"].to_numpy(np.int64), pdf["known"].to_numpy(bool)
+            fits &= ~((root[:, None] == root) & known[:, None] & known)
         if fits.sum() <= 16 * len(k):
             a, b = np.nonzero(fits)
             low, high = np.minimum(k[a], k[b]), np.maximum(k[a], k[b])
-            return pd.DataFrame({"a": low, "b": high, "g": pd.array([None] * len(a), "Int64"), "i": i, "j": j, "block": 0})
+            return pd.DataFrame({"a": low, "b": high, "g": pd.array([None] * len(a), "Int64"), "i": i, "j": j, "block": 0, "n": 0, "pos": 0})
         some = fits.any(0) | fits.any(1)
-        return pd.DataFrame({"a": k[some], "b": k[some], "g": pd.array([g] * int(some.sum()), "Int64"), "i": i, "j": j, "block": block[some]})
+        return pd.DataFrame({"a": k[some], "b": k[some], "g": pd.array([g] * int(some.sum()), "Int64"), "i": i, "j": j, "block": block[some], "n": n[some], "pos": pos[some]})
 
     return run
 
 
+def _homes(dense: DataFrame, block: int, turn: int) -> DataFrame:
+    """``g, i, j, block, key``: each set of the dense rows in one group of about ``block`` sets of one of its columns.
+
+    The column is the one whose hash is the least of the set's columns, so near copies mostly choose the same.
+    """
+    chosen = dense.groupBy("key").agg(F.min_by("g", F.struct(F.xxhash64("g", F.lit(turn)), "g")).alias("g"))
+    groups = chosen.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("groups"))
+    placed = chosen.join(groups, "g").withColumn("i", F.pmod(F.xxhash64("key", F.lit(turn)), F.col("groups")).cast("int"))
+    return placed.select("g", "i", F.col("i").alias("j"), F.col("i").alias("block"), "key")
+
+
 def _dense(percent: int, width: int = 4096):
     """Links of one block pair of a dense column, from the product of its rows; of the links, those of a spanning forest."""
 
@@ -267,7 +286,9 @@ def sets_of(keys: DataFrame, classes: DataFrame, docs: DataFrame, size: int) ->
                     yield pd.DataFrame({**{c: part[c].to_numpy()[fits] for c in ("key", "second")}, "rep": part["doc_id"].to_numpy()[fits], "s": [sets[i].view(np.int64) for i in fits]})
 
     found = texts.select("key", "second", "doc_id", "text").mapInPandas(run, "key long, second long, rep long, s array<long>")
-    return cut(found.dropDuplicates(["key", "second"]).drop("second"), "sets")
+    out = cut(found.dropDuplicates(["key", "second"]).drop("second"), "sets")
+    discard(wanted)
+    return out
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, most: int = 64, heavy_kept: int = 100_000, hot_from: int = 20_000, block: int = 1024) -> DataFrame:
@@ -280,8 +301,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, most:
 
     Columns of the incidence of up to ``most`` classes give all their pairs (of fitting sizes) with counts. Longer
     columns are worked on in pairs of blocks of about ``block`` rows: sizes and places discard most pairs there, and
-    where they do not (many near copies of one text) the block pair's rows are multiplied in memory; it gives back a
-    spanning forest of its links, not all of them, which connects the same documents.
+    where they do not (many near copies of one text) the rows are multiplied in memory, which gives back a spanning forest
+    of their links, not all of them: it connects the same documents. Each class is multiplied twice in one of its columns
+    first, in groups of about ``block``; block pairs are worked on as far as that leaves classes unconnected.
 
     A text without words (or null) has size 0 and its own id; a row without doc_id keeps its size and has no component;
     rows that share an id are one document with the links of all their texts, and get one component; an empty table gives
@@ -331,14 +353,31 @@ def _links(docs: DataFrame, classes: DataFrame, heavy: np.ndarray, counts: np.nd
     placed = columns.join(blocks, "g").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "pos")
-    long_ = cut(placed.groupBy("g", "i", "j").applyInPandas(_long_column(percent), "a long, b long, g long, i int, j int, block int"), "long")
+    long_ = cut(placed.groupBy("g", "i", "j").applyInPandas(_long_column(percent), LONG), "long", few=True)
     pairs = cut(short.union(long_.filter("g IS NULL").select("a", "b")).distinct(), "pairs")
-    dense = long_.filter("g IS NOT NULL").select("g", "i", "j", "block", F.col("a").alias("key"))
+    discard(found, columns)
+    dense = long_.filter("g IS NOT NULL").select("g", "i", "j", "block", F.col("a").alias("key"), "n", "pos")
 
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(dense.select("key")).distinct()
     sets = sets_of(keys, classes, docs, size)
+    multiplied = lambda rows: rows.join(sets, "key").groupBy("g", "i", "j").applyInPandas(_dense(percent), "a long, b long")
+
+    # a group of near copies fills hundreds of columns: its sets are compared in one column at first, in groups, twice;
+    # what that connects is left out of the other columns and block pairs, which would send a set for each of them
+    near, rooted = None, None
+    if dense.limit(1).count():
+        near = cut(multiplied(_homes(dense, block, 1)).union(multiplied(_homes(dense, block, 2))), "near", few=True)
+        single = sets.groupBy("key").agg(F.min("rep").alias("node")).join(sets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m = 1"), "key").select("key", "node")
+        rooted = cut(single.join(components(near), "node").select("key", "root"), "rooted", few=True)
+        told = dense.join(rooted, "key", "left").withColumn("known", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", F.lit(0)))
+        mixed = told.groupBy("g", "i", "j").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_and("known").alias("all")).filter("low <> high OR NOT all")
+        left = cut(told.join(mixed.select("g", "i", "j"), ["g", "i", "j"], "left_semi").groupBy("g", "i", "j").applyInPandas(_long_column(percent), LONG), "dense", few=True)
+        root = lambda c: rooted.toDF(c, f"root_{c}")
+        more = pairs.union(left.filter("g IS NULL").select("a", "b")).distinct().join(root("a"), "a", "left").join(root("b"), "b", "left")
+        pairs = cut(more.filter("NOT root_a <=> root_b OR root_a IS NULL").select("a", "b"), "pairs")
+        dense = left.filter("g IS NOT NULL").select("g", "i", "j", "block", F.col("a").alias("key"))
+
     joined = pairs.join(sets.toDF("a", "ra", "sa"), "a").join(sets.toDF("b", "rb", "sb"), "b")
     joined = joined.select("ra", "rb", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("x"))
     exact = joined.filter(100 * F.col("x") >= percent * (F.col("n") - F.col("x"))).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    product = dense.join(sets, "key").groupBy("g", "i", "j").applyInPandas(_dense(percent), "a long, b long")
-    return exact.union(product)
+    return exact if near is None else exact.union(multiplied(dense)).union(near)

@@ -389,6 +389,27 @@ def test_jaccard_many_near_copies(spark, options):
     assert {i: r.component_id for i, r in got.items()} == links(sets)
 
 
+def test_jaccard_sets_sent(spark, monkeypatch):
+    """Each of many near copies is multiplied a few times, not once for each column and block pair that it stands in."""
+    rng, sent, whole = np.random.default_rng(3), spark.sparkContext.accumulator(0), jaccard._dense
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base[: (k := int(rng.integers(0, 120)))], f"x{i}", *base[k + 1 :]])) for i in range(160)]
+
+    def counting(percent):
+        run = whole(percent)
+
+        def counted(pdf):
+            sent.add(len(pdf))
+            return run(pdf)
+
+        return counted
+
+    monkeypatch.setattr(jaccard, "_dense", counting)
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), most=8, block=40))
+    assert {i: r.component_id for i, r in got.items()} == links({i: shingles(t) for i, t in rows})
+    assert len(rows) <= sent.value <= 4 * len(rows)
+
+
 def test_cut_frees_shuffles(spark):
     from brightfield.llm import common
 
