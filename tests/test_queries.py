@@ -86,3 +86,22 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def against_sql(spark, name, table, rows, folder):
+    """A registered query on one small table (a DuckDB SELECT) against its SQL."""
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE {table} AS {rows}")
+    con.execute(f"COPY {table} TO '{folder}/{table}.parquet'")
+    df = registry.QUERIES[name](spark, str(folder))
+    columns = ", ".join(df.columns)
+    want = con.execute(f"SELECT {columns} FROM ({registry.ORACLES[name]})").fetchall()
+    assert want and sorted(tuple(map(cell, r)) for r in df.collect()) == sorted(tuple(map(cell, r)) for r in want)
+
+
+def test_arm_ranks_at_the_edge_of_a_pass(spark, tmp_path):
+    """A time counts as its nearest second, so the last half second of ten days belongs to the next pass."""
+    rows = """SELECT i::BIGINT AS event_id, make_timestamp((s * 1000000)::BIGINT) AS ts, u::BIGINT AS user_id, e AS event_type FROM (VALUES
+        (1, 863999.6::DOUBLE, 1, 'a'), (2, 864000.0, 1, 'b'), (3, 10.0, 1, 'b'), (4, 20.0, 1, 'c'), (5, 863999.5, 2, 'a'), (6, 864001.0, 2, 'b'), (7, 863998.5, 2, 'b'),
+        (8, -864000.5, 4, 'a'), (9, -864100.0, 4, 'b'), (10, -10.3, 4, 'b'), (11, 3.0, 4, 'a')) t(i, s, u, e)"""
+    against_sql(spark, "arm_ranks", "events", rows, tmp_path)
